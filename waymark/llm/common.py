@@ -173,7 +173,7 @@ class Words:
         self.starts = np.flatnonzero(solid & before)
         self.lengths = np.flatnonzero(solid & after) + 1 - self.starts
         self.ends = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.bytes = data[solid]
+        self.bytes = data.take(np.flatnonzero(solid))
         self.first = np.searchsorted(self.starts, offsets)
 
     def __len__(self) -> int:

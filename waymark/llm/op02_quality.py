@@ -51,7 +51,7 @@ def block_stats(text: pa.Array) -> dict[str, np.ndarray]:
     }
     # lines: cut at every \n and at row ends; exact codes of the lines that hold a word
     cut = data == 0x0A
-    kept = data[~cut]
+    kept = data.take(np.flatnonzero(~cut))
     before = np.concatenate([[0], np.cumsum(~cut)])  # kept bytes before each place
     edges = np.unique(np.concatenate([np.flatnonzero(cut) + 1, offsets]))
     line_ends = before[edges]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .op03_word_bpe import tokenizer
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 CHUNK_BYTES = 8 << 20
 MAGIC = b"WVM1"
 #: The splitting pattern of the vocabulary, a fixed value.

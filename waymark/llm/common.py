@@ -237,6 +237,14 @@ def once(name: str, make):
     return _KEPT[name]
 
 
+def latest(slot: str, name: str, make):
+    """Like once, but of all names of a slot only the latest is kept."""
+    if _KEPT.get(slot, ("",))[0] != name:
+        _KEPT.pop(slot, None)
+        _KEPT[slot] = (name, make())
+    return _KEPT[slot][1]
+
+
 _KEPT: dict[str, object] = {}
 
 

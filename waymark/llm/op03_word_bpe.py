@@ -109,12 +109,14 @@ def _split(buckets: int, chunk_bytes: int):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order)) - first[bucket[order]]
         sorted_words = joined.dictionary.take(pa.array(order))
+        # both readings of the input must cut the same chunks: the stamp goes both ways and is compared
+        stamp = xxhash.xxh3_64_intdigest(joined.dictionary.buffers()[2] or b"", len(code)) >> 1
         rows = [{"chunk": chunk, "bucket": -1, "keys": pa.concat_arrays(keys), "words": b"", "places": common.planes(place[code]), "homes": common.planes(bucket[code]), "counts": common.planes(np.concatenate(counts))}]
         data, ends = common.flat_text(sorted_words)
         for b in np.flatnonzero(np.diff(first)).tolist():
             part = ends[first[b] : first[b + 1] + 1]
             rows.append({"chunk": chunk, "bucket": b, "keys": None, "words": common.packed(data[part[0] : part[-1]], 3), "places": common.planes(np.diff(part)), "homes": b"", "counts": b""})
-        return rows
+        return [r | {"stamp": stamp} for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,7 +130,7 @@ def _split(buckets: int, chunk_bytes: int):
             keys = pa.array([None if r["keys"] is None else 0 for r in rows], pa.int8())
             listed = pa.ListArray.from_arrays(pa.array([0, *([len(rows[0]["keys"])] * len(rows))], pa.int32()), rows[0]["keys"])
             assert len(keys) == len(listed)
-            return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), listed, *[pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "places", "homes", "counts")]], names=["chunk", "bucket", "keys", "words", "places", "homes", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["stamp"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), listed, *[pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "places", "homes", "counts")]], names=["chunk", "stamp", "bucket", "keys", "words", "places", "homes", "counts"])
 
         for block in common.blocks(batches):
             data, offsets = common.flat_text(block.column(1))
@@ -172,13 +174,15 @@ def _encode(path: str):
             ids.append(common.planes(got))
             counts.append(common.planes(np.diff(ends)))
             at += n
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "stamp": table.column("stamp"), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
 def _join(fn: Callable, buckets: int):
     def run(sequences: pa.Table, encoded: pa.Table) -> pa.Table:
+        if len({*sequences.column("stamp").to_pylist(), *encoded.column("stamp").to_pylist()}) > 1:
+            raise RuntimeError("the input gave its rows in another order when it was read again; settle it first")
         ids, sizes, first = [], [], np.zeros(buckets, np.int64)
         seen = 0
         for b, i, n in zip(*[encoded.column(c).to_pylist() for c in ("bucket", "ids", "counts")], strict=True):
@@ -216,10 +220,13 @@ def encode_with(docs: DataFrame, emit: _Emit, schema: str, path: str | None = No
     buckets = buckets or max(8, min(32768, common.plan_bytes(docs) // (8 << 20)))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc_id"].dataType
-    split_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *[T.StructField(c, T.BinaryType()) for c in ("words", "places", "homes", "counts")]])
-    split = common.settle(slim.mapInArrow(_split(buckets, chunk_bytes), split_schema), "words")
+    split_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("stamp", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *[T.StructField(c, T.BinaryType()) for c in ("words", "places", "homes", "counts")]])
+    if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
+        slim = common.settle(slim, "texts")  # else rows may come in another order when they are read again
+    # read twice, once for the words and once for the sequences: dearer by one split, but without a second copy of the sequences on disk
+    split = slim.mapInArrow(_split(buckets, chunk_bytes), split_schema)
     sequences = split.where("bucket < 0").drop("words", "bucket")
-    encoded = split.where("bucket >= 0").select("chunk", "bucket", "words", "places").groupBy("bucket").applyInArrow(_encode(path), "chunk long, bucket int, ids binary, counts binary")
+    encoded = split.where("bucket >= 0").select("chunk", "stamp", "bucket", "words", "places").groupBy("bucket").applyInArrow(_encode(path), "chunk long, stamp long, bucket int, ids binary, counts binary")
     out = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(schema).fields])
     return sequences.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_join(emit, buckets), out)
 

@@ -12,9 +12,10 @@ Jaccard similarity of ``percent`` or more.
    in each band). The best three pivots of each member, by signature, are verified on full sets.
    Components follow.
 4. The rest, exactly: in each bucket that still spans several components, the members outside its largest
-   component are compared by signature with all of the bucket in blocks of bounded size, and
-   pairs of different components that come near the threshold (five standard deviations of the
-   signature's estimate) are verified on full sets. Components again.
+   component are compared by signature with all of the bucket in blocks of bounded size; where pairs of
+   different components come near the threshold (five standard deviations of the signature's
+   estimate), their full sets join the block and are compared. Only links leave a block, one for two
+   components that it shows to be one. Components again.
 
 Nothing is dropped or capped; pairs within a component are skipped, as they can't change a result. Hot
 buckets are split by salts, hot sets by adaptive skew joins of settled tables.
@@ -79,7 +80,7 @@ def shingle_sets(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for r in short.tolist():
             h = np.uint64(words.counts[r])
             for c in code[words.first[r] : words.first[r + 1]]:
-                h = common.mix64(np.array([h * np.uint64(0x9E3779B97F4A7C15) + names[c]], np.uint64))[0]
+                h = common.mix64(np.array([h]) * np.uint64(0x9E3779B97F4A7C15) + names[c : c + 1])[0]
             extra.append(h)
         set_rows = np.concatenate([set_rows, short])
         set_codes = np.concatenate([set_codes, np.array(extra, np.uint64)])
@@ -178,58 +179,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return good
 
 
-def _probe(size: int, least: int):
-    """Blocks of buckets, in order of (key, cell), to pairs of different components whose signatures agree in ``least`` places or more."""
+def _by_block(work):
+    """A mapInArrow function that hands ``work`` tables of whole blocks: rows come in order of (key, cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        names = ["key", "cell", "rep", "label", "probe", "member", "sig"]
-
-        def work(t: pa.Table):
-            rep, label, probe, member = (t.column(c).to_numpy() for c in ("rep", "label", "probe", "member"))
-            key, cell = t.column("key").to_numpy(), t.column("cell").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, size)
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
-            out_a, out_b = [], []
-            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
-                p, m = s + np.flatnonzero(probe[s:e]), s + np.flatnonzero(member[s:e])
-                for k in range(0, len(p), 32):
-                    some = p[k : k + 32]
-                    x, y = np.nonzero((label[some][:, None] != label[m][None, :]) & ((sig[some][:, None, :] == sig[m][None, :, :]).sum(2, dtype=np.int16) >= least))
-                    if len(x):
-                        out_a.append(np.minimum(rep[some[x]], rep[m[y]]))
-                        out_b.append(np.maximum(rep[some[x]], rep[m[y]]))
-            if out_a:
-                pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-            return None
-
-        def split(last: bool):
-            """Whole blocks of what is held, and the rest."""
+
+        def whole(last: bool) -> pa.Table:
             nonlocal held
             t = pa.Table.from_batches(held).combine_chunks()
             held = []
             if not last:
                 k, c = t.column("key").to_numpy(), t.column("cell").to_numpy()
-                tail = int(np.flatnonzero((k != k[-1]) | (c != c[-1]))[-1]) + 1 if ((k != k[-1]) | (c != c[-1])).any() else 0
+                other = np.flatnonzero((k != k[-1]) | (c != c[-1]))
+                tail = int(other[-1]) + 1 if len(other) else 0
                 held = t.slice(tail).to_batches()
                 t = t.slice(0, tail)
             return t
 
         for batch in batches:
-            assert batch.schema.names == names
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= 8192:
-                    t = split(False)
-                    if t.num_rows and (made := work(t)) is not None:
-                        yield made
-        if held and (made := work(split(True))) is not None:
-            yield made
+                if sum(b.num_rows for b in held) >= 4096:
+                    t = whole(False)
+                    if t.num_rows:
+                        yield from work(t)
+        if held:
+            yield from work(whole(True))
 
     return run
 
 
+def _bounds(t: pa.Table) -> list[tuple[int, int]]:
+    key, cell = t.column("key").to_numpy(), t.column("cell").to_numpy()
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])).tolist()
+    return list(zip(edge, [*edge[1:], len(key)], strict=True))
+
+
+def _near(t: pa.Table, s: int, e: int, sig: np.ndarray, least: int):
+    """(probe, member, agreement) places of a block's pairs of different components that come near the threshold."""
+    label, probe, member = (t.column(c).to_numpy()[s:e] for c in ("label", "probe", "member"))
+    p, m = np.flatnonzero(probe), np.flatnonzero(member)
+    for k in range(0, len(p), 32):
+        some = p[k : k + 32]
+        agree = (sig[s + some][:, None, :] == sig[s + m][None, :, :]).sum(2, dtype=np.int16)
+        x, y = np.nonzero((label[some][:, None] != label[m][None, :]) & (agree >= least))
+        yield s + some[x], s + m[y], agree[x, y]
+
+
+def _screen(size: int, least: int):
+    """The rows of blocks that have a near partner of another component there."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, size)
+        good = np.zeros(t.num_rows, bool)
+        for s, e in _bounds(t):
+            for x, y, _ in _near(t, s, e, sig, least):
+                good[x] = good[y] = True
+        yield from t.filter(pa.array(good)).to_batches()
+
+    return _by_block(work)
+
+
+def _link(size: int, least: int, percent: int):
+    """Links (a, b) between the components of a block, verified on full sets; a component that is linked already is asked no more."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, size)
+        rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+        codes, sets = t.column("codes").combine_chunks(), {}
+        out = []
+        for s, e in _bounds(t):
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            sets.clear()
+            for x, y, agree in _near(t, s, e, sig, least):
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    i, j = int(x[k]), int(y[k])
+                    one, two = find(int(label[i])), find(int(label[j]))
+                    if one == two:
+                        continue
+                    for w in (i, j):
+                        if w not in sets:
+                            sets[w] = frozenset(codes[w].as_py())
+                    both = len(sets[i] & sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        up[max(one, two)] = min(one, two)
+                        out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_block(work)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
@@ -271,8 +320,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     as_member = open_.select("key", "rep", "label", F.lit(False).alias("probe"), F.lit(True).alias("member"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), cells_p - 1), lambda p: p * cells_m + mine_m)).alias("cell"))
     as_probe = open_.where(is_probe).select("key", "rep", "label", F.lit(True).alias("probe"), F.lit(False).alias("member"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), cells_m - 1), lambda m: mine_p * cells_m + m)).alias("cell"))
     placed = as_member.union(as_probe).join(sigs, "rep").select("key", "cell", "rep", "label", "probe", "member", "sig")
-    found = placed.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_probe(size, least), "a long, b long").distinct()
-    more = _verified(found, texts, shingle, percent)
+    near = placed.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_screen(size, least), placed.schema)
+    near = common.settle(near, "near")
+    sets = common.settle(texts.join(common.settle(near.select("rep").distinct(), "wanted"), "rep", "left_semi").mapInArrow(_sets(shingle), "rep long, codes array<long>").dropDuplicates(["rep"]), "sets")
+    full = common.join_checked(near, sets, ["rep"], most=0).select(*near.columns, "codes").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    more = common.settle(full.mapInArrow(_link(size, least, percent), "a long, b long"), "more")
     labels = components(links.union(more))
     # back to documents: only classes of several copies or with links say more than the document itself
     told = common.join_checked(classes, labels.withColumnRenamed("node", "rep"), ["rep"], "left").where("copies > 1 or label is not null").select("c1", "c2", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -26,6 +26,11 @@ def latin_table() -> tuple[str, str, dict[str, str]]:
     return "".join(listed), "".join(listed.values()), longer
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once: expressions inside higher-order functions are not shared by the optimizer."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def transliterate(x: Column) -> Column:
     """ASCII form of Latin text, then @ as a and a backtick as an apostrophe."""
     one, to, longer = latin_table()

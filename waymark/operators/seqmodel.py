@@ -179,19 +179,16 @@ def crf_apply(rows: DataFrame, crf: Crf) -> DataFrame:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    grown = F.transform(logits, lambda v: F.exp(v.cast("double") - top))
-    total = F.aggregate(grown, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(grown, lambda v: v / total)
+    grown = X.let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v.cast("double") - top)))
+    return X.let(grown, lambda g: X.let(F.aggregate(g, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(g, lambda v: v / total)))
 
 
 def country_head(logits: Column, names: list[str]) -> Column:
     """(country, confidence): the first of the greatest; ("", 0) without logits."""
-    p = softmax(logits)
-    best = F.array_max(p)
     listed = F.array(*[F.lit(n) for n in names])
     none = F.struct(F.lit("").alias("country"), F.lit(0.0).alias("confidence"))
-    return F.when(F.coalesce(F.size(logits), F.lit(0)) < 1, none).otherwise(F.struct(F.coalesce(F.get(listed, F.array_position(p, best).cast("int") - 1), F.lit("")).alias("country"), best.alias("confidence")))
+    found = X.let(softmax(logits), lambda p: F.struct(F.coalesce(F.get(listed, F.array_position(p, F.array_max(p)).cast("int") - 1), F.lit("")).alias("country"), F.array_max(p).alias("confidence")))
+    return F.when(F.coalesce(F.size(logits), F.lit(0)) < 1, none).otherwise(found)
 
 
 # ---------------------------------------------------------------- spans

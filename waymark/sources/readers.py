@@ -34,22 +34,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", column: str =
     return raw.where(F.col(f"`{column}`").isNotNull() & (F.col(f"`{column}`") != "")).select(F.col(f"`{column}`").alias("text"), hint.alias("suggested"), (hint != "").alias("has_suggested"), X.is_true(get("force_suggested_country")).alias("force"))
 
 
-def property_text(properties: Column, key: str) -> Column:
+def property_text(properties: Column, parsed: Column, key: str) -> Column:
     """A property of a JSON object by name, whatever its case: strings and numbers as trimmed text, others empty."""
-    pairs = F.transform(F.json_object_keys(properties), lambda k: k)
-    name = F.get(F.array_sort(F.filter(pairs, lambda k: F.lower(k) == key)), F.lit(0))
-    value = F.try_variant_get(F.try_parse_json(properties), F.concat(F.lit("$['"), name, F.lit("']")), "variant")
+    name = F.get(F.array_sort(F.filter(F.json_object_keys(properties), lambda k: F.lower(k) == key)), F.lit(0))
+    value = F.try_variant_get(parsed, F.concat(F.lit("$['"), name, F.lit("']")), "variant")
     kind = F.schema_of_variant(value)
-    text = value.cast("string")
-    return F.when(name.isNull() | value.isNull() | kind.isin("BOOLEAN", "VOID") | F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.lit("")).otherwise(F.coalesce(F.trim(text), F.lit("")))
+    return F.when(kind.isin("BOOLEAN", "VOID") | F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.lit("")).otherwise(F.coalesce(F.trim(value.cast("string")), F.lit("")))
 
 
 def feature_text(number, street, unit, postcode, city, district, region) -> Column:
     """Address lines of a feature; nil-like lines and repeated ones (whatever their case) are left out."""
     joined = lambda *parts: F.concat_ws(" ", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])
-    lines = F.filter(F.array(joined(number, street), joined(unit), joined(postcode, city), joined(district), joined(region)), lambda x: ~X.is_nil(x))
-    first = F.filter(lines, lambda x, i: ~F.exists(F.slice(lines, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
-    return F.array_join(first, "\n")
+    lines = F.array(joined(number, street), joined(unit), joined(postcode, city), joined(district), joined(region))
+    # one walk over the five lines keeps the first of equals
+    kept = F.aggregate(lines, F.array().cast("array<string>"), lambda got, x: F.when(X.is_nil(x) | F.exists(got, lambda y: F.lower(y) == F.lower(x)), got).otherwise(F.concat(got, F.array(x))))
+    return F.array_join(kept, "\n")
 
 
 KEYS = ("number", "street", "unit", "postcode", "city", "district", "region")
@@ -60,9 +59,10 @@ def features(lines: DataFrame, value: str = "value") -> DataFrame:
     rows = lines.where(F.trim(value) != "")
     good = F.try_parse_json(F.col(value)).isNotNull()
     checked = rows.withColumn("__line", F.when(good, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("bad JSON: "), F.substring(F.col(value), 1, 80))).cast("string")))
-    props = F.get_json_object("__line", "$.properties")
-    out = checked.withColumn("__props", props)
-    return out.withColumn("text", feature_text(*[property_text(F.col("__props"), k) for k in KEYS])).drop("__line", "__props").where("text <> ''")
+    # properties as columns of their own, each computed once
+    out = checked.withColumn("__props", F.get_json_object("__line", "$.properties")).withColumn("__parsed", F.try_parse_json("__props"))
+    out = out.withColumns({f"__{k}": property_text(F.col("__props"), F.col("__parsed"), k) for k in KEYS})
+    return out.withColumn("text", feature_text(*[F.col(f"__{k}") for k in KEYS])).drop("__line", "__props", "__parsed", *[f"__{k}" for k in KEYS]).where("text <> ''")
 
 
 def read_geojson(spark: SparkSession, path: str, country: str = "", most: int = 0) -> DataFrame:

@@ -86,6 +86,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The size of a table's files where Catalyst knows it, else the bytes of its texts, counted."""
+    known = plan_bytes(df)
+    if known < 1 << 50:
+        return known
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"])
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = 8 << 20) -> DataFrame:
     """Joins a settled right side: broadcast if its files are below ``most``, else shuffled.
 

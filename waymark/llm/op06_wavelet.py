@@ -252,7 +252,7 @@ def write_tokens(docs: DataFrame, path: str, tokens: str | None = None, *, doc_i
     common.ship(docs.sparkSession)
     tokens = tokens or vocabulary()
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    shards = max(1, -(-common.plan_bytes(docs) // shard_bytes))
+    shards = max(1, min(1 << 20, -(-common.text_bytes(docs, text) // shard_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

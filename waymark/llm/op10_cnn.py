@@ -121,7 +121,8 @@ class Net:
         row = np.repeat(np.arange(len(n)), n)
         dc = (dd[:, :FILTERS] / n[:, None])[row]
         best = chunk == top[row]
-        dc = dc + np.where(best, dd[row, FILTERS:], 0)
+        ties = np.add.reduceat(best.astype(np.float32), begin[:-1], axis=0)
+        dc = dc + np.where(best, dd[row, FILTERS:] / ties[row], 0)
         dc = np.where(chunk > 0, dc, 0)
         # only the positions that won a maximum pass a gradient on
         flat_f = np.broadcast_to(np.arange(FILTERS), pick.shape)

@@ -1,3 +1,9 @@
 """DuckDB SQL for the queries that SQL can express over whole tables in fair time."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_salvage": """
+with d as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first, count(*) as n from d where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when n > 1 and page_id <> first then 'revisit' else 'response' end as record_type, case when n > 1 and page_id <> first then first end as refers_to
+from d left join f using (payload_digest)""",
+}

@@ -12,7 +12,7 @@ distances count code points.
    Hamming distance.
 3. Bit sampling: each of ``repeats`` keys takes ``bits`` places of the written string, behind its first
    quarter, which the common anchor fills. A pair whose strings agree in a share p of the places shares a
-   key with probability 1 - (1 - p^bits)^repeats: 0.98 at p = 0.7 for one anchor, and an item has up to
+   key with probability 1 - (1 - p^bits)^repeats: 0.99 at p = 0.7 for one anchor, and an item has up to
    ``anchors``. Pairs with a key in common go on if their whole strings' Hamming distance is low enough.
 4. Every such pair is verified by the bit-parallel (Myers) search of the whole item in the stretch around it.
 
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-REPEATS, BITS, ANCHORS = 32, 6, 16
+REPEATS, BITS, ANCHORS = 48, 6, 20
 #: The share of a written string's places in which two windows must agree to be verified. Unrelated text agrees in a tenth.
-AGREE = 0.5
+AGREE = 0.48
 
 
 def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, common.Words]:
@@ -131,8 +131,8 @@ class Index:
             for w in range(int(words.first[k]), int(words.first[k + 1])):
                 if starts[w] - rows[k] + window <= size or w == words.first[k]:
                     own.setdefault(listed[w], int(starts[w]))
-            # seven anchors at any rate, more of them only if they are long and so rare
-            for name in [x for n, x in enumerate(sorted(own, key=lambda x: (-len(x), x))[:anchors]) if n < 7 or len(x) >= 5]:
+            # eight anchors at any rate, more of them only if they are long and so rare
+            for name in [x for n, x in enumerate(sorted(own, key=lambda x: (-len(x), x))[:anchors]) if n < 8 or len(x) >= 5]:
                 chosen.setdefault(window, []).append((own[name], int(rows[k + 1]) - 1, k))
                 self.anchors.setdefault(window, set()).add(name)
         self.tables = {}

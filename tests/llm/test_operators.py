@@ -191,6 +191,27 @@ def test_leaks_edge(spark, edge):
     assert {r["doc_id"] for r in op05_decontamination.contaminated(edge, items).collect()} == {6, 7}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_leaks_edited(sf, share):
+    """Every item with mixed edits up to the limit is found, as brute force finds it; in scripts without spaces too."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(11)
+    known = [" ".join(t.translate(LOWER).split()) for t in pq.read_table(f"{sf}/benchmark.parquet")["text"].to_pylist()]
+    known += ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 400)) for _ in range(n)) for n in (24, 25, 40, 61, 120)]
+    rows = []
+    for t in known:
+        s = list(t)
+        for i in rng.sample(range(len(s)), int(share * len(s))):
+            s[i] = rng.choice(["", rng.choice("etaoin"), s[i] + rng.choice("etaoin")])
+        rows.append(("文" * 9 if t > "z" else "Before it stands this. ") + "".join(s) + ("字" * 9 if t > "z" else " And this behind it."))
+    got = op05_decontamination.Index(list(enumerate(known))).search(pa.array([*rows, None, ""]), 0.8)
+    for n, t in enumerate(rows):
+        plain = " ".join(t.translate(LOWER).split())
+        want = {k for k, v in enumerate(known) if op05_decontamination.distance_within(v, plain, int(0.2 * len(v) + 1e-9)) is not None}
+        assert n in want and {k for k, _ in got[n]} == want
+
+
 # ---------------------------------------------------------------- 6
 
 

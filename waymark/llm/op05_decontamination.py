@@ -15,18 +15,23 @@ distances count code points.
    key with probability 1 - (1 - p^bits)^repeats: 0.99 at p = 0.7 for one anchor, and an item has up to
    ``anchors``. Pairs with a key in common go on if their whole strings' Hamming distance is low enough.
 4. Every such pair is verified by the bit-parallel (Myers) search of the whole item in the stretch around it.
+5. What the keys miss is found by an exact search (``Pieces``), so that every stretch within the distance is
+   found, wherever it begins: an item with at most k edits, cut into k // 2 + 1 pieces, has a piece with one
+   edit at most. Deleting a character from such a piece and one from the text gives equal strings, which
+   are looked up at every place of a document; groups of pieces around a hit (2a - 1 edits at most in a
+   pieces) are checked by a vectorised Myers search, and then the whole item as in 4.
 
 The benchmark is a stated query set; it is read in blocks of at most ``block_bytes``, each sent to
 every task, and the documents are never shuffled. Every document is read whole.
 
 Edge cases: null and empty texts are clean; items that are null or shorter than ``least`` code points are
 no evidence and not searched; repeated items and rows give equal answers; null ids are allowed, extra
-columns pass through ``clean``; an empty table or benchmark finds nothing. Passages are found where they
-begin at a word, so scripts without spaces are found only as whole words.
+columns pass through ``clean``; an empty table or benchmark finds nothing.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -109,11 +114,215 @@ def distance_within(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+#: Scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: The base of polynomial hashes modulo 2^64, and the longest part of a piece that is looked up.
+BASE, LONGEST = 0x9E3779B97F4A7C15, 16
+
+
+def points(data: np.ndarray, rows: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """The rows of normal() as one string, its code points, and the n + 1 starts of the rows in it."""
+    try:
+        text = data.tobytes().decode()
+        starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[rows]
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        text, starts = "".join(parts), np.cumsum([0, *map(len, parts)])
+    return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), starts
+
+
+def apart(left: str, right: str) -> bool:
+    """Whether a word may end between two neighbours."""
+    return not (left.isalnum() and right.isalnum()) or bool(UNSPACED.match(left) or UNSPACED.match(right))
+
+
+class Keys:
+    """Places by 64-bit keys, with a table of bits that spares most look-ups."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.lexsort((values, keys))
+        keys, values = keys[order], values[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])
+        self.keys, self.values = keys[new], values[new]
+        self.shift = np.uint64(64 - min(27, max(20, int(64 * len(self.keys)).bit_length())))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.keys * np.uint64(BASE)) >> self.shift] = True
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen.take(((keys * np.uint64(BASE)) >> self.shift).view(np.int64)))
+
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of keys, and the values that they have."""
+        low = np.searchsorted(self.keys, keys, "left")
+        n = np.searchsorted(self.keys, keys, "right") - low
+        return np.repeat(np.arange(len(keys)), n), self.values[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+class Pieces:
+    """The exact search for items within the distance (``texts``), and for equal ones (``short``); both by the items' numbers."""
+
+    def __init__(self, texts: dict[int, str], short: dict[int, str], similarity: float):
+        known = np.array(sorted(set("".join([*texts.values(), *short.values()]))), dtype="U1").view(np.uint32)
+        self.number = np.zeros(0x110000, np.uint16 if len(known) < 1 << 16 else np.uint32)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.power = np.array([pow(BASE, j, 1 << 64) for j in range(max([LONGEST, *map(len, short.values())]) + 1)], np.uint64)
+        self.texts = texts
+        piece, group = [], [(0, 0)]
+        masks = [np.zeros(64, np.uint64)]
+        made: dict[int, tuple[list, list]] = {}
+
+        def grouped(code: np.ndarray, a: int, b: int, pieces: int) -> int:
+            # too long for a machine word: group 0, which every place passes; its pieces are long, so few places come
+            if b - a > 64:
+                return 0
+            mask = np.zeros(64, np.uint64)
+            np.bitwise_or.at(mask, 1 + code[a:b] % 63, np.uint64(1) << np.arange(b - a, dtype=np.uint64))
+            masks.append(mask)
+            group.append((b - a, 2 * pieces - 1))
+            return len(group) - 1
+
+        for k, t in texts.items():
+            code = self._codes(t).astype(np.int64)
+            p = int((1 - similarity) * len(t) + 1e-9) // 2 + 1
+            cuts = [j * len(t) // p for j in range(p + 1)]
+            size = min(LONGEST, len(t) // p)
+            # a tree: groups of three to five pieces, in them groups of two or three
+            for big in np.array_split(np.arange(p), -(-p // 5)):
+                outer = grouped(code, cuts[big[0]], cuts[big[-1] + 1], len(big))
+                for pair in np.array_split(big, max(1, len(big) // 2)):
+                    inner = grouped(code, cuts[pair[0]], cuts[pair[-1] + 1], len(pair))
+                    for j in pair:
+                        part = code[cuts[j] : cuts[j] + size].astype(np.uint64)
+                        keys, values = made.setdefault(size, ([], []))
+                        for d in range(size):
+                            keys.append((np.delete(part, d) * self.power[: size - 1]).sum())
+                            values.append(len(piece))
+                        piece.append((k, cuts[j], inner, cuts[j] - cuts[pair[0]], outer, cuts[j] - cuts[big[0]]))
+        self.piece = np.array(piece, np.int64).reshape(-1, 6)
+        self.length, self.budget = np.array(group, np.int64).T
+        self.masks = np.concatenate(masks)
+        self.tables = {size: Keys(np.array(keys, np.uint64), np.array(values, np.int64)) for size, (keys, values) in made.items()}
+        equal: dict[int, tuple[list, list]] = {}
+        for k, t in short.items():
+            keys, values = equal.setdefault(len(t), ([], []))
+            keys.append((self._codes(t).astype(np.uint64) * self.power[: len(t)]).sum())
+            values.append(k)
+        self.equal = {size: Keys(np.array(keys, np.uint64), np.array(values, np.int64)) for size, (keys, values) in equal.items()}
+        self.short = short
+
+    def _codes(self, text: str) -> np.ndarray:
+        return self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def close(self, classes: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Whether a stretch of the text from a place on lies within the group's distance of the group: Myers' search, many pairs at once."""
+        out = np.ones(len(at), bool)
+        one = np.uint64(1)
+        for j in range(0, len(at), 8192):
+            now, g = at[j : j + 8192].copy(), group[j : j + 8192]
+            size, most = self.length[g], self.budget[g]
+            high, base = np.maximum(size - 1, 0).astype(np.uint64), g * 64
+            plus, minus = np.full(len(g), ~np.uint64(0)), np.zeros(len(g), np.uint64)
+            score, best = size.copy(), size.copy()
+            for _ in range(int((size + 2 * most).max())):
+                eq = self.masks.take(base + classes.take(now, mode="clip"))
+                d0 = (((eq & plus) + plus) ^ plus) | eq | minus
+                ph = minus | ~(d0 | plus)
+                mh = plus & d0
+                score += ((ph >> high) & one).view(np.int64)
+                score -= ((mh >> high) & one).view(np.int64)
+                np.minimum(best, score, out=best)
+                ph <<= one
+                mh <<= one
+                plus, minus = mh | ~(d0 | ph), ph & d0
+                now += 1
+            out[j : j + 8192] = (best <= most) | (g == 0)
+        return out
+
+    def places(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, pieces) whose groups lie within their distances; ``code`` holds numbers of code points, 0 for others and between rows."""
+        front = 128
+        classes = np.zeros(len(code) + 2 * front, np.int64)
+        classes[front : front + len(code)] = np.where(code > 0, 1 + code.astype(np.int64) % 63, 0)
+        classes[-1] = 0
+        for size, table in self.tables.items():
+            for a in range(0, len(code), 1 << 15):
+                n = min(1 << 15, len(code) - a)
+                part = np.zeros(n + size + 1, np.uint64)
+                own = code[a : a + n + size + 1]
+                part[: len(own)] = own
+                step = part[:-1] - part[1:]
+                key = np.zeros(n, np.uint64)
+                for j in range(size - 1):
+                    key += part[j + 1 : j + 1 + n] * self.power[j]
+                at, keys = [], []
+                for j in range(size):
+                    got = table.maybe(key)
+                    at.append(got)
+                    keys.append(key[got])
+                    key += step[j : j + n] * self.power[j]
+                at, keys = np.concatenate(at), np.concatenate(keys)
+                which, piece = table.pairs(keys)
+                both = np.unique((a + at[which]) * len(self.piece) + piece)
+                place, piece = both // len(self.piece), both % len(self.piece)
+                for g, before in ((2, 3), (4, 5)):
+                    group = self.piece[piece, g]
+                    good = self.close(classes, np.maximum(front + place - self.piece[piece, before] - self.budget[group], 0), group)
+                    place, piece = place[good], piece[good]
+                if len(place):
+                    yield place, piece
+
+    def equals(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, items) of equal short items."""
+        most = max(self.equal, default=0)
+        for a in range(0, len(code) if most else 0, 1 << 15):
+            n = min(1 << 15, len(code) - a)
+            part = np.zeros(n + most, np.uint64)
+            own = code[a : a + n + most]
+            part[: len(own)] = own
+            key = np.zeros(n, np.uint64)
+            for j in range(most):
+                key += part[j : j + n] * self.power[j]
+                if j + 1 in self.equal:
+                    at = self.equal[j + 1].maybe(key)
+                    which, item = self.equal[j + 1].pairs(key[at])
+                    yield a + at[which], item
+
+    def search(self, data: np.ndarray, rows: np.ndarray, similarity: float, done: set[tuple[int, int]], check) -> Iterator[tuple[int, int, int]]:
+        """(row, item, distance) of what is not in ``done``, which grows; ``check`` tells an item's distance from a stretch."""
+        text, code, starts = points(data, rows)
+        code = self.number[code]
+        code[starts[1:][starts[1:] > starts[:-1]] - 1] = 0
+        for place, item in self.equals(code):
+            row = np.searchsorted(starts, place, "right") - 1
+            for r, k, at in zip(row.tolist(), item.tolist(), place.tolist(), strict=True):
+                t = self.short[k]
+                end = at + len(t)
+                if (r, k) not in done and text.startswith(t, at) and end < starts[r + 1] and (at == starts[r] or apart(text[at - 1], t[0])) and apart(t[-1], text[end]):
+                    done.add((r, k))
+                    yield r, k, 0
+        tried = set()
+        for place, piece in self.places(code) if self.texts else ():
+            row = np.searchsorted(starts, place, "right") - 1
+            item, begin = self.piece[piece, 0], place - self.piece[piece, 1]
+            for r, k, at in zip(row.tolist(), item.tolist(), begin.tolist(), strict=True):
+                most = int((1 - similarity) * len(self.texts[k]) + 1e-9)
+                if (r, k) in done or (r, k, at) in tried:
+                    continue
+                tried.add((r, k, at))
+                d = check(k, text[max(int(starts[r]), at - most) : max(0, min(int(starts[r + 1]) - 1, at + len(self.texts[k]) + most))], most)
+                if d is not None:
+                    done.add((r, k))
+                    yield r, k, d
+
+
 class Index:
-    """The keys of a block of items."""
+    """The keys of a block of items; those below ``least`` code points are only searched as they are."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int = REPEATS, bits: int = BITS, anchors: int = ANCHORS):
+    def __init__(self, items: list[tuple[int, str]], repeats: int = REPEATS, bits: int = BITS, anchors: int = ANCHORS, least: int = 0):
         self.repeats, self.bits = repeats, bits
+        self.short = {k for k, (_, t) in enumerate(items) if len(t) < least}
+        self.pieces: dict[float, Pieces] = {}
         text = pa.array([t for _, t in items], pa.string())
         data, starts, rows, words = normal(*common.flat_text(text))
         self.ids = [i for i, _ in items]
@@ -124,7 +333,7 @@ class Index:
         self.anchors: dict[int, set[bytes]] = {}
         for k in range(len(items)):
             size = int(rows[k + 1] - rows[k]) - 1
-            if size < 4:
+            if size < 4 or k in self.short:
                 continue
             window = max(4, 1 << int(np.log2(size / 1.5)))
             own: dict[bytes, int] = {}
@@ -150,7 +359,7 @@ class Index:
         """(number of the item, distance) of each row's contaminations."""
         data, starts, rows, words = normal(*common.flat_text(text))
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(rows) - 1)]
-        if not len(words) or not self.tables:
+        if not len(words):
             return out
         codes, names = words.codes(common.LOWER[words.bytes])
         row_of = words.row()
@@ -184,15 +393,22 @@ class Index:
             size, slack = len(self.texts[k].encode()), 2 * most + 8
             a, b = max(int(rows[r]), at - slack), min(int(rows[r + 1]), at + size + slack)
             near = data[a:b].tobytes().decode("utf-8", "replace")
-            # an edit spoils q of the item's q-character strings at most: too few left, and the search can't succeed
-            if any(sum(map({near[j : j + q] for j in range(len(near) - q + 1)}.__contains__, g)) < len(g) - q * most for q, g in zip((4, 3), self.grams[k], strict=True)):
-                continue
-            d = distance_within(self.texts[k], near, most)
+            d = self.check(k, near, most)
             if d is not None:
                 done.add((r, k))
                 out[r].append((k, d))
+        if similarity not in self.pieces:
+            self.pieces[similarity] = Pieces({k: t for k, t in enumerate(self.texts) if t and k not in self.short}, {k: self.texts[k] for k in self.short if len(self.texts[k]) > 1}, similarity)
+        for r, k, d in self.pieces[similarity].search(data, rows, similarity, done, self.check):
+            out[r].append((k, d))
         return out
 
+    def check(self, k: int, near: str, most: int) -> int | None:
+        # an edit spoils q of the item's q-character strings at most: too few left, and the search can't succeed
+        if any(sum(map({near[j : j + q] for j in range(len(near) - q + 1)}.__contains__, g)) < len(g) - q * most for q, g in zip((4, 3), self.grams[k], strict=True)):
+            return None
+        return distance_within(self.texts[k], near, most)
+
 
 def _blocks(items: DataFrame, item_id: str, text: str, least: int, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, each brought to the driver on its own."""
@@ -206,13 +422,13 @@ def _blocks(items: DataFrame, item_id: str, text: str, least: int, block_bytes:
             yield got
 
 
-def _mapped(docs: DataFrame, items: list[tuple[int, str]], similarity: float, run, schema) -> DataFrame:
+def _mapped(docs: DataFrame, items: list[tuple[int, str]], least: int, run, schema) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def mapped(batches):
-        index = common.latest("cgk", name, lambda: Index(sent.value))
+        index = common.latest("cgk", name, lambda: Index(sent.value, least=least))
         yield from run(index, batches)
 
     return docs.mapInArrow(mapped, schema)
@@ -232,7 +448,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8,
 
     out = None
     for part in _blocks(items, item_id, item_text, least, block_bytes):
-        got = _mapped(source, part, similarity, run, schema)
+        got = _mapped(source, part, least, run, schema)
         out = got if out is None else out.union(got)
     return out if out is not None else source.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("int").alias("distance")).where("false")
 
@@ -247,7 +463,7 @@ def clean(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, least:
             yield block.filter(pa.array(good, pa.bool_()))
 
     for part in _blocks(items, item_id, item_text, least, block_bytes):
-        docs = _mapped(docs, part, similarity, run, docs.schema)
+        docs = _mapped(docs, part, least, run, docs.schema)
     return docs
 
 

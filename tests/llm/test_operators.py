@@ -212,6 +212,15 @@ def test_leaks_edited(sf, share):
         assert n in want and {k for k, _ in got[n]} == want
 
 
+def test_leaks_short(spark):
+    """Items below 24 code points are found where they stand whole."""
+    items = spark.createDataFrame([(1, "Who is it?"), (2, "東京は首都か"), (3, "ab cd"), (4, "Ünder")], "item_id long, text string")
+    texts = ["So: who  is\nit? asked one.", "答えは東京は首都かという", "ab cd", "xab cd", "ab cde", "(AB CD)", "Ünder", "wÜnder", "who is it", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in op05_decontamination.contaminated(docs, items).collect()}
+    assert got == {(0, 1, 0), (1, 2, 0), (2, 3, 0), (5, 3, 0), (6, 4, 0)}
+
+
 # ---------------------------------------------------------------- 6
 
 

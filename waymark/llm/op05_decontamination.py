@@ -24,9 +24,10 @@ distances count code points.
 The benchmark is a stated query set; it is read in blocks of at most ``block_bytes``, each sent to
 every task, and the documents are never shuffled. Every document is read whole.
 
-Edge cases: null and empty texts are clean; items that are null or shorter than ``least`` code points are
-no evidence and not searched; repeated items and rows give equal answers; null ids are allowed, extra
-columns pass through ``clean``; an empty table or benchmark finds nothing.
+Edge cases: null and empty texts are clean; items shorter than ``least`` code points are evidence only where
+they stand whole and letter for letter, not inside a longer word (scripts without spaces have no such
+bounds); null items and those of one code point are none. Repeated items and rows give equal answers;
+null ids are allowed, extra columns pass through ``clean``; an empty table or benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -410,9 +411,9 @@ class Index:
         return distance_within(self.texts[k], near, most)
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, least: int, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, each brought to the driver on its own."""
-    rows = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.length("t") >= least)
+    rows = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.length("t") > 1)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(total) // block_bytes))
     for k in range(n):
@@ -447,7 +448,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8,
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(r)), pa.array(i, pa.int64()), pa.array(d, pa.int32())], names=["doc_id", "item_id", "distance"])
 
     out = None
-    for part in _blocks(items, item_id, item_text, least, block_bytes):
+    for part in _blocks(items, item_id, item_text, block_bytes):
         got = _mapped(source, part, least, run, schema)
         out = got if out is None else out.union(got)
     return out if out is not None else source.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("int").alias("distance")).where("false")
@@ -462,7 +463,7 @@ def clean(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, least:
             good = [not row for row in index.search(block.column(at), similarity)]
             yield block.filter(pa.array(good, pa.bool_()))
 
-    for part in _blocks(items, item_id, item_text, least, block_bytes):
+    for part in _blocks(items, item_id, item_text, block_bytes):
         docs = _mapped(docs, part, least, run, docs.schema)
     return docs
 

@@ -361,6 +361,15 @@ def test_redact(spark):
     assert all(r["text"].startswith("call [PHONE] or [EMAIL], token = ") and r["n_chars"] == len(r["text"]) and r["more"] == "x" for r in got)
 
 
+@pytest.mark.parametrize("address", ["john(AT)example.com", "john[At]example.com", "john AT example DOT com", "john at example.com", "john[AT]example.com", "john [at] example [dot] com"])
+def test_spelled(address):
+    for before in ("", "Grüße von ", "meet at noon. "):
+        text = f"{before}{address}, thanks"
+        assert (len(before), 0, len(before) + len(address)) in op08_pii.candidates(text, op08_pii.base_spans(text))
+    text = "ring at 030. 555 1234 5678, no address"
+    assert 3 in {k for _, k, _ in op08_pii.candidates(text, [])}
+
+
 def test_reliabilities():
     table, p = op08_pii.reliabilities([(0, "+++0000", 90), (0, "--00000", 10), (0, "++00000", 20)])
     assert table.shape == (2, op08_pii.LABELERS, 3) and np.allclose(table.sum(2), 1) and p[0] > 0.9 and p[1] < 0.1

@@ -43,7 +43,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-]*[0-9])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
-SPELLED = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+SPELLED = re.compile(r"(?<![\w.+-])([A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{8,256})", re.I)
 #: The gazetteers, fixed values.
 DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at it nl be".split())
@@ -91,18 +91,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses; a plain "at" before one must not take its local part, so the search goes on behind the separator."""
+    m = SPELLED.search(text)
+    while m:
+        yield m.span()
+        m = SPELLED.search(text, m.end(1))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Further spans of loose shapes that meet no base span, nor each other."""
+    """Further spans of loose shapes that meet no base span; only spelled-out addresses may meet others, as most are plain words."""
     found = []
-    low = text if text.isascii() else None
     if "=" in text or ":" in text:
         found += [(m.start(1), 4, m.end(1)) for m in SECRET.finditer(text)]
     if "-" in text:
         found += [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
     if re.search(r"[0-9][ .)-]", text):
         found += [(m.start(), 3, m.end()) for m in LOOSE_PHONE.finditer(text) if 8 <= len(digits_of(m[0])) <= 12]
-    if "[at]" in text or "(at)" in text or " dot " in text or (low and "[AT]" in low):
-        found += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
     out, taken = [], sorted((a, b) for a, _, b in base)
     ends = [b for _, b in taken]
     from bisect import bisect_right
@@ -113,7 +118,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if a >= last and not (at < len(taken) and taken[at][0] < b):
             out.append((a, k, b))
             last = b
-    return out
+    for a, b in spelled(text):
+        at = bisect_right(ends, a)
+        if not (at < len(taken) and taken[at][0] < b):
+            out.append((a, 0, b))
+    return sorted(out)
 
 
 def votes(text: str, start: int, kind: int, end: int, is_base: bool) -> str:

@@ -370,6 +370,14 @@ def test_spelled(address):
     assert 3 in {k for _, k, _ in op08_pii.candidates(text, [])}
 
 
+def test_long_secret(spark):
+    secret = "eyJ" + "".join(random.Random(4).choice("abcXYZ0189._-") for _ in range(900))
+    text = f'token = "{secret}" end'
+    assert op08_pii.candidates(text, []) == [(9, 4, 9 + len(secret))]
+    df = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    assert op08_pii.redact(df, {(4, op08_pii.votes(text, 9, 4, 9 + len(secret), False)): True}).first()["text"] == 'token = "[SECRET]" end'
+
+
 def test_reliabilities():
     table, p = op08_pii.reliabilities([(0, "+++0000", 90), (0, "--00000", 10), (0, "++00000", 20)])
     assert table.shape == (2, op08_pii.LABELERS, 3) and np.allclose(table.sum(2), 1) and p[0] > 0.9 and p[1] < 0.1

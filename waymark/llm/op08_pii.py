@@ -44,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-]*[0-9])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 SPELLED = re.compile(r"(?<![\w.+-])([A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
-SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{8,256})", re.I)
+SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{8,}+)", re.I)
 #: The gazetteers, fixed values.
 DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at it nl be".split())
 SECRET_STARTS = ("AKIA", "ghp_", "sk-", "xox", "eyJ", "AIza")

@@ -104,6 +104,19 @@ def test_quality_outliers(spark):
     assert sum(kept[i] for i in range(400)) == 400 and not any(kept[i] for i in range(400, 420))
 
 
+def test_quality_tables(spark):
+    """Table junk (a bar behind every word or two) is rejected; clean texts with a few chance repeats stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(rng.randint(80, 300))) for _ in range(400)]
+    for i in range(0, 400, 10):
+        clean[i] += " " + " ".join(clean[i].split()[:4])
+    junk = [" ".join(word() + rng.choice(["", " |"]) for _ in range(200)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in op02_quality.quality_rules(df).collect()}
+    assert sum(kept[i] for i in range(400)) >= 396 and not any(kept[i] for i in range(400, 420))
+
+
 def test_chi2():
     assert abs(op02_quality.chi2_quantile(0.999, 5) - 20.515) < 1e-3
 

@@ -108,14 +108,17 @@ def base_failed():
 
 
 def transformed() -> list:
-    """The vector: log length, mean word length, and square roots of the shares of symbols, repeated lines and repeated windows."""
+    """The vector: log length, mean word length, square roots of the shares of symbols and repeated lines, and the share of repeated windows.
+
+    That share's root is far heavier-tailed: chance alone repeats a few windows of a short text.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1))
     return [
         F.log1p(F.col("n_words").cast("double")).alias("x0"),
         F.log(F.greatest(F.col("word_chars") / n, F.lit(0.5))).alias("x1"),
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x2"),
         F.sqrt(F.col("n_dup_lines") / n).alias("x3"),
-        F.sqrt(F.col("n_repeat_words") / n).alias("x4"),
+        (F.col("n_repeat_words") / n).alias("x4"),
     ]
 
 
@@ -241,11 +244,15 @@ def chi2_quantile(share: float, df: int) -> float:
     return (low + high) / 2
 
 
-def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text", coverage: float = 0.75, steps: int = 3, least: int = 60, cutoff: float = 130.0) -> DataFrame:
+#: The squared robust distance that a good document exceeds with probability 0.001 under the normal model, 20.5.
+CUTOFF = chi2_quantile(0.999, len(DIMS))
+
+
+def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text", coverage: float = 0.75, steps: int = 3, least: int = 60, cutoff: float = CUTOFF) -> DataFrame:
     """A row per row of docs: doc_id, the statistics, base_failed, distance2 and kept.
 
-    ``cutoff`` is the squared robust distance above which a document is rejected. Statistics of real
-    text are heavy-tailed, so it is far above the normal model's 0.999 quantile (20.5 for 5 dimensions).
+    ``cutoff`` is the squared robust distance above which a document is rejected. Real statistics have heavier
+    tails than the normal model, so somewhat more than a thousandth of the good ones is lost (README).
     """
     common.ship(docs.sparkSession)
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.concat(F.lit("b"), F.to_json(F.struct(F.col(f"`{lang}`").alias("l"), F.col(f"`{source}`").alias("s")))).alias("g_both"), F.concat(F.lit("l"), F.to_json(F.struct(F.col(f"`{lang}`").alias("l")))).alias("g_lang"), F.lit("a").alias("g_all"), F.col(f"`{text}`").alias("text"))

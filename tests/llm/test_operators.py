@@ -69,6 +69,44 @@ def test_warc_salvage(packed):
     assert gaps == [(ends[1], len(parts[1])), (ends[3], 120), (ends[5] + 120, len(parts[5]) - 30)] and all(r["reason"] for r in got if r["kind"] == "gap")
 
 
+def test_warc_members_of_many():
+    """A member of many records loses only the damaged ones: a bad digest, a cut, a bad checksum."""
+    rng = random.Random(6)
+    pages = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(9)]
+    made = [op01_warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), len(p), None, "response") for i, p in enumerate(pages)]
+    bad = made[4].replace(pages[4], pages[4][::-1])
+    ids = lambda data: [r["page_id"] for r in op01_warc.salvage(data) if r["kind"] == "record"]
+    gaps = lambda data: [(r["offset"], r["length"], r["reason"]) for r in op01_warc.salvage(data) if r["kind"] == "gap"]
+    last = op01_warc.member(made[8])
+    whole = op01_warc.member(b"".join([*made[:4], bad, *made[5:8]]))
+    assert ids(whole + last) == [0, 1, 2, 3, 5, 6, 7, 8] and gaps(whole + last) == [(0, len(whole), "payload digest")]
+    for level in (0, 4):
+        whole = op01_warc.member(b"".join(made[:8]), level)
+        cut = whole[: len(whole) // 2]
+        assert ids(cut) == [0, 1, 2, 3][: len(ids(cut))] and len(ids(cut)) >= 3 and gaps(cut) == [(0, len(cut), "member cut short")]
+        sums = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+        assert ids(sums + last) == list(range(9)) and [g[2] for g in gaps(sums + last)][0] == "member"
+
+
+def test_warc_of_others():
+    """Records of other writers: no private header, sha1 digests, all types."""
+    import base64
+
+    def made(kind, block, *more):
+        return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, *more, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha1 = lambda b: b"sha1:" + base64.b32encode(hashlib.sha1(b).digest())
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    kind = b"Content-Type: application/http; msgtype=response"
+    rows = [made(b"warcinfo", b"software: x"), made(b"request", b"GET / HTTP/1.1\r\n\r\n", kind), made(b"response", http + b"body", kind, b"WARC-Target-URI: http://a/%25", b"WARC-Payload-Digest: " + sha1(b"body"), b"WARC-Block-Digest: " + sha1(http + b"body")), made(b"metadata", b"m: 1"), made(b"revisit", http, kind, b"WARC-Payload-Digest: " + sha1(b"body"))]
+    wrong = made(b"response", http + b"bodx", kind, b"WARC-Payload-Digest: " + sha1(b"body"))
+    for pack in (op01_warc.member, bytes):
+        got = list(op01_warc.salvage(b"".join(map(pack, [*rows, wrong]))))
+        assert [(r["record_type"], r["payload_bytes"]) for r in got if r["kind"] == "record"] == [("warcinfo", 11), ("request", 0), ("response", 4), ("metadata", 4), ("revisit", None)]
+        assert got[2]["payload"] == b"body" and got[2]["url"] == "http://a/%25" and got[2]["payload_digest"] == sha1(b"body").decode()
+        assert [r["reason"] for r in got if r["kind"] == "gap"] == ["payload digest"]
+
+
 # ---------------------------------------------------------------- 2
 
 

@@ -8,7 +8,13 @@ of a member's length; a larger member is followed by an empty one), and zero is
 Reading: a file is taken member by member (or, uncompressed, record by record). Where a check fails - the
 member's checksum, the version line, lengths, the payload's digest - the reader searches the bytes behind
 for the next ``1f 8b 08`` or version line from which a whole record passes the checks, goes on from there
-and logs the gap of bytes as quarantined. Every candidate place is tried once.
+and logs the gap of bytes as quarantined. Every candidate place is tried once. A member that ends badly, or
+holds a bad record, is salvaged record by record from what it unpacks to; the gap is then logged with the
+place and length of the member, like its records.
+
+Records of any type and of other writers are read: ``X-Payload-Length`` is optional, block and payload digests
+are checked where they are sha256 or sha1 (in hex or base32; other ones are returned unchecked), except a
+segment's payload digest, which is that of the whole. Digests other than sha256 in hex keep their prefix.
 
 Edge cases: a null or empty html is an empty payload; null urls and ids are left out of the record's
 header and come back null; repeated rows are records of their own (rows that share the smallest page_id
@@ -17,6 +23,8 @@ are all responses); extra columns are ignored; an empty table writes no record a
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -32,6 +40,7 @@ VERSION = b"WARC/1.1"
 #: An empty gzip member; it ends with a zero.
 EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 SCHEMA = "file string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
@@ -106,45 +115,110 @@ def _parse(raw: bytes, at: int) -> tuple[dict, int]:
         name, _, value = line.partition(b":")
         head[name.strip().lower()] = value.strip()
     try:
-        size, full = int(head[b"content-length"]), int(head[b"x-payload-length"])
+        size, own = int(head[b"content-length"]), b"x-payload-length" in head
+        full = int(head[b"x-payload-length"]) if own else None
     except (KeyError, ValueError):
         raise Bad("length") from None
     body, stop = end + 4, end + 4 + size
     if size < 0 or raw[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("record end")
     block = raw[body:stop]
-    cut = block.find(b"\r\n\r\n")
-    payload = block[cut + 4 :] if cut >= 0 else b""
     kind = head.get(b"warc-type", b"").decode("latin-1")
-    digest = head.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha256:")
-    if kind == "response":
-        if len(payload) != full or hashlib.sha256(payload).hexdigest() != digest:
-            raise Bad("payload digest")
-    elif kind != "revisit" or not re.fullmatch("[0-9a-f]{64}", digest):
+    if not kind:
         raise Bad("record type")
+    payload = block
+    if kind in ("response", "request", "revisit") and (own or head.get(b"content-type", b"application/http").lower().startswith(b"application/http")):
+        cut = block.find(b"\r\n\r\n")
+        payload = block[cut + 4 :] if cut >= 0 else b""
+    if b"warc-block-digest" in head:
+        _check(head[b"warc-block-digest"], block, "block digest")
+    digest = head.get(b"warc-payload-digest")
+    if digest is not None:
+        # a revisit's payload is elsewhere, and a segment's digest is that of all segments
+        digest = _check(digest, None if kind == "revisit" or b"warc-segment-number" in head else payload, "payload digest")
+    if kind == "revisit":
+        payload = None
+    elif full is None:
+        full = len(payload)
+    elif len(payload) != full:
+        raise Bad("payload digest")
     page = lambda k: int(m[1]) if (m := re.search(rb"<urn:page:(-?\d+)>", head.get(k, b""))) else None
     url = head.get(b"warc-target-uri")
-    url = None if url is None else url.replace(b"%0D", b"\r").replace(b"%0A", b"\n").replace(b"%25", b"%").decode("utf-8", "replace")
-    return {"page_id": page(b"warc-record-id"), "url": url, "record_type": kind, "payload_bytes": full, "payload_digest": digest, "refers_to": page(b"warc-refers-to"), "payload": payload if kind == "response" else None}, stop + 4
+    if url is not None:
+        # only this writer escapes
+        url = (url.replace(b"%0D", b"\r").replace(b"%0A", b"\n").replace(b"%25", b"%") if own else url).decode("utf-8", "replace")
+    return {"page_id": page(b"warc-record-id"), "url": url, "record_type": kind, "payload_bytes": full, "payload_digest": digest, "refers_to": page(b"warc-refers-to"), "payload": payload}, stop + 4
+
+
+def _check(digest: bytes, data: bytes | None, what: str) -> str:
+    """The digest as it is returned, once it is that of data (where there are data and the algorithm is known)."""
+    text = digest.decode("latin-1")
+    name, _, value = text.rpartition(":")
+    name = name.lower().replace("-", "") or "sha256"
+    if name not in ("sha256", "sha1"):
+        return text
+    size = 32 if name == "sha256" else 20
+    try:
+        want = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (ValueError, binascii.Error):
+        raise Bad(what) from None
+    if len(want) != size or (data is not None and hashlib.new(name, data).digest() != want):
+        raise Bad(what)
+    return value if name == "sha256" and len(value) == 64 else text
+
+
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
+    """What a damaged member unpacks to, and where that ends."""
+    opener, out = zlib.decompressobj(31), []
+    while at < len(data) and not opener.eof:
+        before, part = opener.copy(), data[at : at + 4096]
+        try:
+            out.append(opener.decompress(part))
+            at += len(part) - len(opener.unused_data)
+        except zlib.error:
+            try:
+                for k in range(len(part)):
+                    out.append(before.decompress(part[k : k + 1]))
+                    at += 1
+            except zlib.error:
+                pass
+            break
+    return b"".join(out), at
+
+
+def _inside(raw: bytes) -> tuple[list[dict], str | None]:
+    """The records in a member's bytes, wherever they begin, and the first failure."""
+    place, found, reason = 0, [], None
+    while place < len(raw):
+        try:
+            row, place = _parse(raw, place)
+            found.append(row)
+        except Bad as bad:
+            reason = reason or str(bad)
+            m = VERSION_LINE.search(raw, place + 1)
+            place = m.start() if m else len(raw)
+    return found, reason
 
 
-def _at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at a place, and the end of it."""
+def _at(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
+    """The records of the member or plain record at a place, the end of it, and what fails in it although it has records."""
     if data[at : at + 2] != b"\x1f\x8b":
         found, end = _parse(data, at)
-        return [found], end
+        return [found], end, None
     opener = zlib.decompressobj(31)
     try:
         raw = opener.decompress(memoryview(data)[at:])
+        bad = None if opener.eof else "member cut short"
     except zlib.error:
-        raise Bad("member") from None
-    if not opener.eof:
-        raise Bad("member cut short")
-    end, place, found = len(data) - len(opener.unused_data), 0, []
-    while place < len(raw):
-        row, place = _parse(raw, place)
-        found.append(row)
-    return found, end
+        bad = "member"
+    if bad:
+        raw, end = _unpacked(data, at)
+    else:
+        end = len(data) - len(opener.unused_data)
+    found, reason = _inside(raw)
+    if not found and (bad or reason):
+        raise Bad(bad or reason)
+    return found, end, bad or reason
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -155,12 +229,12 @@ def salvage(data: bytes) -> Iterator[dict]:
             at += 1
             continue
         try:
-            found, end = _at(data, at)
+            found, end, failed = _at(data, at)
         except Bad as first:
-            start, reason, end, found = at, str(first), n, []
+            start, reason, end, found, failed = at, str(first), n, [], None
             for m in START.finditer(data, at + 1):
                 try:
-                    found, end = _at(data, m.start())
+                    found, end, failed = _at(data, m.start())
                 except Bad:
                     continue
                 at = m.start()
@@ -170,6 +244,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield {"kind": "gap", "offset": start, "length": at - start, "reason": reason}
         for row in found:
             yield row | {"kind": "record", "offset": at, "length": end - at}
+        if failed:
+            yield {"kind": "gap", "offset": at, "length": end - at, "reason": failed}
         at = max(end, at)
 
 

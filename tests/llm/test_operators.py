@@ -256,13 +256,59 @@ def test_leaks_edited(sf, share):
         for i in rng.sample(range(len(s)), int(share * len(s))):
             s[i] = rng.choice(["", rng.choice("etaoin"), s[i] + rng.choice("etaoin")])
         rows.append(("文" * 9 if t > "z" else "Before it stands this. ") + "".join(s) + ("字" * 9 if t > "z" else " And this behind it."))
-    got = op05_decontamination.Index(list(enumerate(known))).search(pa.array([*rows, None, ""]), 0.8)
+    got = op05_decontamination.Index(list(enumerate(known)), 0.8).search(pa.array([*rows, None, ""]))
     for n, t in enumerate(rows):
         plain = " ".join(t.translate(LOWER).split())
         want = {k for k, v in enumerate(known) if op05_decontamination.distance_within(v, plain, int(0.2 * len(v) + 1e-9)) is not None}
         assert n in want and {k for k, _ in got[n]} == want
 
 
+def brute_leaks(known, text):
+    """The least distance of each item that a text holds within the limit."""
+    plain = " ".join((text or "").translate(LOWER).split())
+    found = {k: op05_decontamination.distance_within(v, plain, int(0.2 * len(v) + 1e-9)) for k, v in enumerate(known)}
+    return [(k, d) for k, d in found.items() if d is not None]
+
+
+def test_leaks_least(sf, monkeypatch):
+    """Hyphens for spaces, several occurrences at different distances, and a text of several slices: distances are the least, as brute force has them."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(12)
+    known = [" ".join(t.translate(LOWER).split()) for t in pq.read_table(f"{sf}/benchmark.parquet")["text"].to_pylist()][:8]
+    rows = [t.replace(" ", "-") for t in known]
+    for t in known:
+        s = list(t)
+        for i in rng.sample(range(len(s)), len(s) // 8):
+            s[i] = "q"
+        rows.append("One. " + "".join(s) + " Two. " + t + " Three. " + "".join(s))
+    rows.append(" ".join(f"w{rng.randrange(500)}" for _ in range(4000)) + " ".join(rows) + " ".join(f"é{rng.randrange(500)}" for _ in range(4000)))
+    index = op05_decontamination.Index(list(enumerate(known)), 0.8)
+    want = [brute_leaks(known, t) for t in rows]
+    assert index.search(pa.array(rows)) == want and all((n, 0) in want[8 + n] for n in range(8))
+    monkeypatch.setattr(op05_decontamination, "SLICE", 9000)
+    assert index.search(pa.array(rows)) == want
+
+
+@pytest.mark.parametrize("share, least", [(0.05, 1.0), (0.1, 1.0), (0.15, 0.99), (0.2, 0.95)])
+def test_leaks_keys(sf, share, least):
+    """The sampled keys alone find this share of edited items."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(13)
+    known = [" ".join(t.translate(LOWER).split()) for t in pq.read_table(f"{sf}/benchmark.parquet")["text"].to_pylist()]
+    index = op05_decontamination.Index(list(enumerate(known)), 0.8)
+    index.groups[1].close = lambda classes, at, group: np.zeros(len(at), bool)
+    rows, want = [], 0
+    for t in known * 5:
+        s = list(t)
+        for i in rng.sample(range(len(s)), int(share * len(s))):
+            s[i] = rng.choice(["", rng.choice("etaoin"), s[i] + rng.choice("etaoin")])
+        rows.append("".join(s))
+    got = index.search(pa.array(rows))
+    assert sum(n % len(known) in dict(r) for n, r in enumerate(got)) >= least * len(rows)
+
+
 def test_leaks_short(spark):
     """Items below 24 code points are found where they stand whole."""
     items = spark.createDataFrame([(1, "Who is it?"), (2, "東京は首都か"), (3, "ab cd"), (4, "Ünder")], "item_id long, text string")

@@ -4,25 +4,26 @@ A document is contaminated if a stretch of it lies within an edit distance of ``
 benchmark item's length from the item. Both are compared in lower case (A-Z), with one space between words;
 distances count code points.
 
-1. Windows begin at an item's anchors, its longest words (rare ones, as a rule), and hold ``W`` bytes, the greatest power of two
-   at or below two thirds of the item, so an item's windows lie within it. A document's windows of
-   that size begin at the words that are anchors of items of that size.
-2. CGK: a random walk reads a window; step j writes the byte at the pointer and moves the pointer on by a
-   random bit of (j, byte). Few edits leave most of the written string as it is: edit distance becomes
-   Hamming distance.
-3. Bit sampling: each of ``repeats`` keys takes ``bits`` places of the written string, behind its first
-   quarter, which the common anchor fills. A pair whose strings agree in a share p of the places shares a
-   key with probability 1 - (1 - p^bits)^repeats: 0.99 at p = 0.7 for one anchor, and an item has up to
-   ``anchors``. Pairs with a key in common go on if their whole strings' Hamming distance is low enough.
-4. Every such pair is verified by the bit-parallel (Myers) search of the whole item in the stretch around it.
-5. What the keys miss is found by an exact search (``Pieces``), so that every stretch within the distance is
-   found, wherever it begins: an item with at most k edits, cut into k // 2 + 1 pieces, has a piece with one
-   edit at most. Deleting a character from such a piece and one from the text gives equal strings, which
-   are looked up at every place of a document; groups of pieces around a hit (2a - 1 edits at most in a
-   pieces) are checked by a vectorised Myers search, and then the whole item as in 4.
-
-The benchmark is a stated query set; it is read in blocks of at most ``block_bytes``, each sent to
-every task, and the documents are never shuffled. Every document is read whole.
+1. Windows open at every place where an occurrence can be. An item with at most k edits, cut into k // 2 + 1
+   pieces, has a piece with one edit at most, and around it two or three successive pieces (a of them)
+   with 2a - 1 edits at most. Deleting a character from a piece and one from the text gives equal strings,
+   so pieces are looked up at every place of a document; their groups are checked by Myers' search over
+   many places at once. A window is as long as its item and lies as the piece lies in the item.
+2. CGK: a random walk reads the window from the piece on, another one from the piece back; step j writes the
+   character at the pointer and moves the pointer on by a random bit of (j, character). Few edits leave
+   most of the written string as it is: edit distance becomes Hamming distance.
+3. Bit sampling: each of ``REPEATS`` keys takes ``BITS`` places of the written string. A window goes on if
+   it shares a key with its item's string. Strings that agree in a share p of the places do so with
+   probability 1 - (1 - p^BITS)^REPEATS, 0.99 at p = 0.45; an occurrence has a window for each of its pieces
+   that is good enough, so it is missed only if all of them are. What shares no key is not lost either: it
+   goes on if the next larger group of pieces (three to five) is close enough, which an occurrence within
+   the distance grants.
+4. Windows of a document and an item that overlap are joined, and each stretch is verified by the bit-parallel
+   (Myers) search of the whole item; ``distance`` is the least of them.
+
+So every stretch within the distance is found, wherever it begins, in any script. The benchmark is a stated
+query set; it is read in blocks of at most ``block_bytes``, each sent to every task, and the documents are
+never shuffled. Every document is read whole, long ones in overlapping slices.
 
 Edge cases: null and empty texts are clean; items shorter than ``least`` code points are evidence only where
 they stand whole and letter for letter, not inside a longer word (scripts without spaces have no such
@@ -38,56 +39,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-REPEATS, BITS, ANCHORS = 48, 6, 20
-#: The share of a written string's places in which two windows must agree to be verified. Unrelated text agrees in a tenth.
-AGREE = 0.48
+#: Keys of a window, and the places that a key takes.
+REPEATS, BITS = 64, 3
+#: The longest part of a piece that is looked up, and text that is searched at once, in bytes.
+LONGEST, SLICE = 9, 4 << 20
+#: Lower case, and one kind of space.
+PLAIN = np.where(common.SPACE, 0x20, common.LOWER).astype(np.uint8)
+#: Scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, common.Words]:
-    """Words in lower case with a space behind each: bytes, starts of the words, n + 1 starts of the rows."""
-    words = common.Words(data, offsets)
-    n = len(words)
-    out = np.full(len(words.bytes) + n, 0x20, np.uint8)
-    out[np.arange(len(words.bytes)) + np.repeat(np.arange(n), words.lengths)] = common.LOWER[words.bytes]
-    starts = words.ends + np.arange(n + 1)
-    return out, starts[:-1], starts[words.first], words
+def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in lower case with a space behind each: their bytes, and the n + 1 starts of the rows."""
+    if not len(data):
+        return data, offsets
+    solid = ~common.SPACE.take(data)
+    keep = np.empty(len(data), bool)
+    keep[0] = False
+    keep[1:] = solid[:-1]
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = False  # nothing stands before a row's first byte
+    keep |= solid
+    at = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offsets]
+    out = PLAIN.take(data)[keep]
+    open_ = (np.diff(offsets) > 0) & solid[np.maximum(offsets[1:] - 1, 0)]
+    return np.insert(out, at[1:][open_], 0x20), at + np.concatenate([[0], np.cumsum(open_)])
 
 
-def walk(data: np.ndarray, at: np.ndarray, stop: np.ndarray, window: int) -> np.ndarray:
-    """CGK strings of windows that begin at ``at`` and end at ``stop`` at the latest, 2 * window steps each (windows x steps)."""
-    steps = 2 * window
-    turn = np.random.default_rng(window).integers(0, 2, (steps, 256), np.uint8)
-    out = np.zeros((len(at), steps), np.uint8)
-    end = np.minimum(at + window, stop)
+def points(data: np.ndarray, rows: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """The rows of normal() as one string, its code points, and the n + 1 starts of the rows in it."""
+    try:
+        text = data.tobytes().decode()
+        starts = rows if len(text) == len(data) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[rows]
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        text, starts = "".join(parts), np.cumsum([0, *map(len, parts)])
+    return text, data if len(text) == len(data) else np.frombuffer(text.encode("utf-32-le"), np.uint32), starts
+
+
+def slices(data: np.ndarray, rows: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """Parts of normal()'s rows: bytes, starts, the first row's number, and whether it begins inside that row. A row longer than ``SLICE`` comes in parts that overlap."""
+    at = 0
+    while at < len(rows) - 1:
+        to = max(at + 1, int(np.searchsorted(rows, rows[at] + SLICE, "right")) - 1)
+        begin, end = int(rows[at]), int(rows[to])
+        if end - begin <= SLICE + 2 * overlap:
+            yield data[begin:end], rows[at : to + 1] - begin, at, False
+        else:
+            inside = False
+            while begin < end:
+                stop = min(end, begin + SLICE)
+                while stop < end and data[stop] & 0xC0 == 0x80:
+                    stop += 1
+                yield data[begin:stop], np.array([0, stop - begin]), at, inside
+                if stop == end:
+                    break
+                begin, inside = stop - overlap, True
+                while data[begin] & 0xC0 == 0x80:
+                    begin -= 1
+        at = to
+
+
+# ---------------------------------------------------------------- CGK embedding and bit sampling
+
+
+def walk(classes: np.ndarray, at: np.ndarray, sizes: np.ndarray, stop: np.ndarray, way: int, steps: int) -> np.ndarray:
+    """CGK strings (steps x windows) of classes from ``at`` on, forward (way 1) or back (-1), over ``sizes`` characters, to ``stop`` at most."""
+    turn = np.random.default_rng(2 + way).integers(0, 2, (steps, 256), np.uint8)
+    turn[:, 0] = 0
+    turn = turn.astype(np.int64) * way
+    out = np.empty((steps, len(at)), np.uint8)
+    end = np.minimum(at + sizes, stop) if way > 0 else np.maximum(at - sizes, stop)
     now = at.copy()
-    padded = np.concatenate([data, np.zeros(steps + 1, np.uint8)])
-    columns = np.empty((steps, len(at)), np.uint8)
     for j in range(steps):
-        c = padded.take(now)
-        c *= now < end
-        columns[j] = c
+        c = classes.take(now, mode="clip", out=out[j])
+        c *= now < end if way > 0 else now > end
         now += turn[j].take(c)
-    out[:] = columns.T
     return out
 
 
-def sampled(strings: np.ndarray, window: int, repeats: int, bits: int) -> np.ndarray:
-    """Keys of the sampled places (windows x repeats)."""
-    rng = np.random.default_rng(1000 + window)
-    out = np.empty((len(strings), repeats), np.uint64)
+def agreed(mine: list[np.ndarray], theirs: list[np.ndarray], sizes: list[np.ndarray], repeats: int = REPEATS, bits: int = BITS) -> np.ndarray:
+    """Whether each window shares a key with its item: strings forward and back, over 2 * sizes steps each."""
+    n = len(sizes[0])
+    share = np.random.default_rng(77).random((repeats, bits))
+    found, column = np.zeros(n, bool), np.arange(n)
+    total = 2 * (sizes[0] + sizes[1])
     for r in range(repeats):
-        some = strings.shape[1] // 4 + rng.choice(strings.shape[1] * 3 // 4, bits, replace=False)
-        h = np.full(len(strings), np.uint64(window * 1000 + r))
-        for k in some:
-            h = h * np.uint64(257) + strings[:, k]
-        out[:, r] = common.mix64(h)
-    return out
+        keys = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+        for u in share[r]:
+            place = (u * total).astype(np.int64)
+            back = place >= 2 * sizes[0]
+            place[back] -= 2 * sizes[0][back]
+            for key, strings in zip(keys, (mine, theirs), strict=True):
+                c = np.where(back, strings[1][np.minimum(place, len(strings[1]) - 1), column], strings[0][np.minimum(place, len(strings[0]) - 1), column])
+                key *= np.uint64(257)
+                key += c
+        found |= keys[0] == keys[1]
+    return found
+
+
+# ---------------------------------------------------------------- exact edit search
 
 
 def distance_within(item: str, text: str, most: int) -> int | None:
@@ -115,30 +171,18 @@ def distance_within(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
-#: Scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-#: The base of polynomial hashes modulo 2^64, and the longest part of a piece that is looked up.
-BASE, LONGEST = 0x9E3779B97F4A7C15, 16
-
-
-def points(data: np.ndarray, rows: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
-    """The rows of normal() as one string, its code points, and the n + 1 starts of the rows in it."""
-    try:
-        text = data.tobytes().decode()
-        starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[rows]
-    except UnicodeDecodeError:
-        parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        text, starts = "".join(parts), np.cumsum([0, *map(len, parts)])
-    return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), starts
-
-
 def apart(left: str, right: str) -> bool:
     """Whether a word may end between two neighbours."""
     return not (left.isalnum() and right.isalnum()) or bool(UNSPACED.match(left) or UNSPACED.match(right))
 
 
+def spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers low[i] .. low[i] + n[i] - 1 of successive i."""
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Keys:
-    """Places by 64-bit keys, with a table of bits that spares most look-ups."""
+    """Values by 32-bit keys: a table of bits spares most look-ups, a table of the upper bits begins the others."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.lexsort((values, keys))
@@ -146,269 +190,282 @@ class Keys:
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])
         self.keys, self.values = keys[new], values[new]
-        self.shift = np.uint64(64 - min(27, max(20, int(64 * len(self.keys)).bit_length())))
-        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
-        self.seen[(self.keys * np.uint64(BASE)) >> self.shift] = True
+        bits = min(27, max(18, int(32 * len(self.keys)).bit_length()))
+        self.shift = np.uint32(32 - bits)
+        seen = np.zeros(1 << bits, bool)
+        seen[self.keys >> self.shift] = True
+        self.seen = np.packbits(seen, bitorder="little")
+        bits = min(24, max(10, int(2 * len(self.keys)).bit_length()))
+        self.coarse = np.uint32(32 - bits)
+        self.head = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.int64)
+        self.head = np.append(self.head, len(self.keys))
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(self.seen.take(((keys * np.uint64(BASE)) >> self.shift).view(np.int64)))
+        """A bit each: 0 where a key is certainly none of these."""
+        at = keys >> self.shift
+        got = self.seen.take((at >> np.uint32(3)).astype(np.int64), mode="wrap")
+        got >>= at.astype(np.uint8) & np.uint8(7)
+        got &= np.uint8(1)
+        return got
 
     def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of keys, and the values that they have."""
-        low = np.searchsorted(self.keys, keys, "left")
-        n = np.searchsorted(self.keys, keys, "right") - low
-        return np.repeat(np.arange(len(keys)), n), self.values[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        top = (keys >> self.coarse).astype(np.int64)
+        low = self.head[top]
+        n = self.head[top + 1] - low
+        which, at = np.repeat(np.arange(len(keys)), n), spread(low, n)
+        good = self.keys[at] == keys[which]
+        return which[good], self.values[at[good]]
+
+
+class Groups:
+    """Successive pieces of items, as bit masks of at most 64 characters for Myers' search. Longer groups hold everywhere (their pieces are long, so few places come)."""
+
+    def __init__(self, classes: np.ndarray, begin: np.ndarray, size: np.ndarray, budget: np.ndarray):
+        self.free = size > 64
+        size = np.where(self.free, 1, size)
+        kind = np.uint32 if size.max(initial=1) <= 32 else np.uint64
+        self.size, self.budget = size, budget
+        at = spread(begin, size)
+        group = np.repeat(np.arange(len(size)), size)
+        # a mask's top bit is its group's last character; the bits below the first match anything, so a match may begin anywhere
+        self.width = kind(0).nbytes * 8
+        self.below = ((np.uint64(1) << (self.width - size).astype(np.uint64)) - np.uint64(1)).astype(kind)
+        self.masks = np.repeat(self.below, 64)
+        np.bitwise_or.at(self.masks, group * 64 + classes[at], (np.uint64(1) << (at - begin[group] + self.width - size[group]).astype(np.uint64)).astype(kind))
 
+    def close(self, classes: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Whether a stretch of the text around ``at`` (where the group begins) lies within the group's distance of it: Myers' search, many pairs at once."""
+        out = np.empty(len(at), bool)
+        kind = self.masks.dtype.type
+        signed, one, last = np.dtype(f"i{kind(0).nbytes}"), kind(1), self.width - 1
+        for j in range(0, len(at), 8192):
+            g = group[j : j + 8192]
+            size, most = self.size[g], self.budget[g]
+            steps = int((size + 2 * most).max())
+            begin = np.clip(at[j : j + 8192] - most, 0, len(classes) - steps)
+            text = np.ascontiguousarray(sliding_window_view(classes, steps)[begin].T)
+            base = g * 64
+            minus = np.zeros(len(g), kind)
+            plus = ~self.below[g]
+            score, best = size.astype(signed), size.astype(signed)
+            eq, d0, ph, mh, t = (np.empty(len(g), kind) for _ in range(5))
+            place, sign, early = np.empty(len(g), np.int64), t.view(signed), int((size - most).min()) - 1
+            for k in range(steps):
+                np.add(base, text[k], out=place)
+                self.masks.take(place, mode="wrap", out=eq)
+                np.bitwise_and(eq, plus, out=d0)
+                np.add(d0, plus, out=d0)
+                np.bitwise_xor(d0, plus, out=d0)
+                np.bitwise_or(d0, eq, out=d0)
+                np.bitwise_or(d0, minus, out=d0)
+                np.bitwise_or(d0, plus, out=t)
+                np.invert(t, out=t)
+                np.bitwise_or(minus, t, out=ph)
+                np.bitwise_and(plus, d0, out=mh)
+                # the top bits: one more, or one less
+                np.right_shift(ph.view(signed), last, out=sign)
+                np.subtract(score, sign, out=score)
+                np.right_shift(mh.view(signed), last, out=sign)
+                np.add(score, sign, out=score)
+                if k >= early:
+                    np.minimum(best, score, out=best)
+                np.left_shift(ph, one, out=ph)
+                np.left_shift(mh, one, out=mh)
+                np.bitwise_or(d0, ph, out=t)
+                np.invert(t, out=t)
+                np.bitwise_or(mh, t, out=plus)
+                np.bitwise_and(ph, d0, out=minus)
+            out[j : j + 8192] = (best <= most) | self.free[g]
+        return out
 
-class Pieces:
-    """The exact search for items within the distance (``texts``), and for equal ones (``short``); both by the items' numbers."""
 
-    def __init__(self, texts: dict[int, str], short: dict[int, str], similarity: float):
-        known = np.array(sorted(set("".join([*texts.values(), *short.values()]))), dtype="U1").view(np.uint32)
+class Index:
+    """A block of items; those below ``least`` code points are only searched as they are."""
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, least: int = 0):
+        self.ids, self.similarity = [i for i, _ in items], similarity
+        data, rows = normal(*common.flat_text(pa.array([t for _, t in items], pa.string())))
+        self.texts = [data[a : max(a, b - 1)].tobytes().decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        self.most = [int((1 - similarity) * len(t) + 1e-9) for t in self.texts]
+        self.grams: dict[int, list] = {}
+        whole = "".join(self.texts)
+        known = np.array(sorted(set(whole)), dtype="U1").view(np.uint32) if whole else np.zeros(0, np.uint32)
         self.number = np.zeros(0x110000, np.uint16 if len(known) < 1 << 16 else np.uint32)
         self.number[known] = np.arange(1, len(known) + 1)
-        self.power = np.array([pow(BASE, j, 1 << 64) for j in range(max([LONGEST, *map(len, short.values())]) + 1)], np.uint64)
-        self.texts = texts
-        piece, group = [], [(0, 0)]
-        masks = [np.zeros(64, np.uint64)]
-        made: dict[int, tuple[list, list]] = {}
-
-        def grouped(code: np.ndarray, a: int, b: int, pieces: int) -> int:
-            # too long for a machine word: group 0, which every place passes; its pieces are long, so few places come
-            if b - a > 64:
-                return 0
-            mask = np.zeros(64, np.uint64)
-            np.bitwise_or.at(mask, 1 + code[a:b] % 63, np.uint64(1) << np.arange(b - a, dtype=np.uint64))
-            masks.append(mask)
-            group.append((b - a, 2 * pieces - 1))
-            return len(group) - 1
-
-        for k, t in texts.items():
-            code = self._codes(t).astype(np.int64)
-            p = int((1 - similarity) * len(t) + 1e-9) // 2 + 1
+        #: 64 classes of characters: of the items' own, and 0 for all others and between rows
+        self.kind = np.concatenate([[0], 1 + np.arange(len(known)) % 63]).astype(np.uint8)
+        own = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        self.own, first = self.kind[own], np.cumsum([0, *map(len, self.texts)])
+        self.first = first
+        rng = np.random.default_rng(99)
+        self.power = rng.integers(0, 1 << 32, max([LONGEST, *(len(t) for t in self.texts if len(t) < least)]) + 1, np.uint64).astype(np.uint32) | np.uint32(1)
+        pieces, inner, outer = [], [], []
+        for k, t in enumerate(self.texts):
+            if not t or len(t) < least:
+                continue
+            p = self.most[k] // 2 + 1
             cuts = [j * len(t) // p for j in range(p + 1)]
             size = min(LONGEST, len(t) // p)
-            # a tree: groups of three to five pieces, in them groups of two or three
+            # groups of three to five pieces, in them groups of two or three
             for big in np.array_split(np.arange(p), -(-p // 5)):
-                outer = grouped(code, cuts[big[0]], cuts[big[-1] + 1], len(big))
-                for pair in np.array_split(big, max(1, len(big) // 2)):
-                    inner = grouped(code, cuts[pair[0]], cuts[pair[-1] + 1], len(pair))
-                    for j in pair:
-                        part = code[cuts[j] : cuts[j] + size].astype(np.uint64)
-                        keys, values = made.setdefault(size, ([], []))
-                        for d in range(size):
-                            keys.append((np.delete(part, d) * self.power[: size - 1]).sum())
-                            values.append(len(piece))
-                        piece.append((k, cuts[j], inner, cuts[j] - cuts[pair[0]], outer, cuts[j] - cuts[big[0]]))
-        self.piece = np.array(piece, np.int64).reshape(-1, 6)
-        self.length, self.budget = np.array(group, np.int64).T
-        self.masks = np.concatenate(masks)
-        self.tables = {size: Keys(np.array(keys, np.uint64), np.array(values, np.int64)) for size, (keys, values) in made.items()}
-        equal: dict[int, tuple[list, list]] = {}
-        for k, t in short.items():
-            keys, values = equal.setdefault(len(t), ([], []))
-            keys.append((self._codes(t).astype(np.uint64) * self.power[: len(t)]).sum())
-            values.append(k)
-        self.equal = {size: Keys(np.array(keys, np.uint64), np.array(values, np.int64)) for size, (keys, values) in equal.items()}
-        self.short = short
-
-    def _codes(self, text: str) -> np.ndarray:
-        return self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-    def close(self, classes: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Whether a stretch of the text from a place on lies within the group's distance of the group: Myers' search, many pairs at once."""
-        out = np.ones(len(at), bool)
-        one = np.uint64(1)
-        for j in range(0, len(at), 8192):
-            now, g = at[j : j + 8192].copy(), group[j : j + 8192]
-            size, most = self.length[g], self.budget[g]
-            high, base = np.maximum(size - 1, 0).astype(np.uint64), g * 64
-            plus, minus = np.full(len(g), ~np.uint64(0)), np.zeros(len(g), np.uint64)
-            score, best = size.copy(), size.copy()
-            for _ in range(int((size + 2 * most).max())):
-                eq = self.masks.take(base + classes.take(now, mode="clip"))
-                d0 = (((eq & plus) + plus) ^ plus) | eq | minus
-                ph = minus | ~(d0 | plus)
-                mh = plus & d0
-                score += ((ph >> high) & one).view(np.int64)
-                score -= ((mh >> high) & one).view(np.int64)
-                np.minimum(best, score, out=best)
-                ph <<= one
-                mh <<= one
-                plus, minus = mh | ~(d0 | ph), ph & d0
-                now += 1
-            out[j : j + 8192] = (best <= most) | (g == 0)
-        return out
-
-    def places(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, pieces) whose groups lie within their distances; ``code`` holds numbers of code points, 0 for others and between rows."""
-        front = 128
-        classes = np.zeros(len(code) + 2 * front, np.int64)
-        classes[front : front + len(code)] = np.where(code > 0, 1 + code.astype(np.int64) % 63, 0)
-        classes[-1] = 0
+                outer.append((first[k] + cuts[big[0]], cuts[big[-1] + 1] - cuts[big[0]], 2 * len(big) - 1))
+                for small in np.array_split(big, max(1, len(big) // 2)):
+                    inner.append((first[k] + cuts[small[0]], cuts[small[-1] + 1] - cuts[small[0]], 2 * len(small) - 1))
+                    pieces += [(k, cuts[j], size, len(inner) - 1, cuts[j] - cuts[small[0]], len(outer) - 1, cuts[j] - cuts[big[0]]) for j in small.tolist()]
+        self.piece = np.array(pieces, np.int64).reshape(-1, 7)
+        self.groups = [Groups(self.own, *np.array(x, np.int64).reshape(-1, 3).T) for x in (inner, outer)]
+        self.tables = {}
+        for size in np.unique(self.piece[:, 2]).tolist():
+            mine = np.flatnonzero(self.piece[:, 2] == size)
+            part = own[(first[self.piece[mine, 0]] + self.piece[mine, 1])[:, None] + np.arange(size)].astype(np.uint32)
+            keys = np.stack([(np.delete(part, d, 1) * self.power[: size - 1]).sum(1, dtype=np.uint32) for d in range(size)])
+            self.tables[size] = Keys(keys.ravel(), np.tile(mine, size))
+        equal: dict[int, list[int]] = {}
+        for k, t in enumerate(self.texts):
+            if 1 < len(t) < least:
+                equal.setdefault(len(t), []).append(k)
+        self.equal = {}
+        for size, some in equal.items():
+            part = own[first[some][:, None] + np.arange(size)].astype(np.uint32)
+            self.equal[size] = Keys((part * self.power[:size]).sum(1, dtype=np.uint32), np.array(some, np.int64))
+        self.reach = max([0, *(len(t) + 2 * m for t, m in zip(self.texts, self.most, strict=True))])
+
+    def opened(self, code: np.ndarray, classes: np.ndarray, front: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, pieces) of windows: a piece with one edit at most, in a group of pieces that is close enough. ``classes`` are those of ``code`` behind ``front`` empty places."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def near() -> tuple[np.ndarray, np.ndarray]:
+            place, piece = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            good = self.groups[0].close(classes, front + place - self.piece[piece, 4], self.piece[piece, 3])
+            return place[good], piece[good]
+
+        step = 1 << 14
         for size, table in self.tables.items():
-            for a in range(0, len(code), 1 << 15):
-                n = min(1 << 15, len(code) - a)
-                part = np.zeros(n + size + 1, np.uint64)
+            power = self.power[: size - 1]
+            for a in range(0, len(code), step):
+                n = min(step, len(code) - a)
+                part = np.zeros(n + size + 1, np.uint32)
                 own = code[a : a + n + size + 1]
                 part[: len(own)] = own
-                step = part[:-1] - part[1:]
-                key = np.zeros(n, np.uint64)
+                change = part[:-1] - part[1:]
+                key, t, any_ = np.zeros(n, np.uint32), np.empty(n, np.uint32), np.zeros(n, np.uint8)
                 for j in range(size - 1):
-                    key += part[j + 1 : j + 1 + n] * self.power[j]
-                at, keys = [], []
+                    np.multiply(part[j + 1 : j + 1 + n], power[j], out=t)
+                    key += t
+                first = key.copy()
                 for j in range(size):
-                    got = table.maybe(key)
-                    at.append(got)
-                    keys.append(key[got])
-                    key += step[j : j + n] * self.power[j]
-                at, keys = np.concatenate(at), np.concatenate(keys)
-                which, piece = table.pairs(keys)
-                both = np.unique((a + at[which]) * len(self.piece) + piece)
-                place, piece = both // len(self.piece), both % len(self.piece)
-                for g, before in ((2, 3), (4, 5)):
-                    group = self.piece[piece, g]
-                    good = self.close(classes, np.maximum(front + place - self.piece[piece, before] - self.budget[group], 0), group)
-                    place, piece = place[good], piece[good]
-                if len(place):
-                    yield place, piece
+                    any_ |= table.maybe(key)
+                    if j < size - 1:
+                        np.multiply(change[j : j + n], power[j], out=t)
+                        key += t
+                some = np.flatnonzero(any_)
+                if not len(some):
+                    continue
+                # the keys of the few places that may have one: a row for each deleted character
+                keys = np.empty((size, len(some)), np.uint32)
+                keys[0] = first[some]
+                for j in range(size - 1):
+                    np.multiply(change[some + j], power[j], out=keys[j + 1])
+                np.cumsum(keys, axis=0, dtype=np.uint32, out=keys)
+                hit = np.flatnonzero(table.maybe(keys.ravel()))
+                which, piece = table.pairs(keys.ravel()[hit])
+                both = np.sort(some[hit[which] % len(some)] * len(self.piece) + piece)
+                if len(both):
+                    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+                    held.append((a + both // len(self.piece), both % len(self.piece)))
+                    if sum(len(x) for x, _ in held) >= 8192:
+                        yield near()
+        if held:
+            yield near()
 
     def equals(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, items) of equal short items."""
         most = max(self.equal, default=0)
-        for a in range(0, len(code) if most else 0, 1 << 15):
-            n = min(1 << 15, len(code) - a)
-            part = np.zeros(n + most, np.uint64)
+        for a in range(0, len(code) if most else 0, 1 << 16):
+            n = min(1 << 16, len(code) - a)
+            part = np.zeros(n + most, np.uint32)
             own = code[a : a + n + most]
             part[: len(own)] = own
-            key = np.zeros(n, np.uint64)
+            key = np.zeros(n, np.uint32)
             for j in range(most):
                 key += part[j : j + n] * self.power[j]
                 if j + 1 in self.equal:
-                    at = self.equal[j + 1].maybe(key)
+                    at = np.flatnonzero(self.equal[j + 1].maybe(key))
                     which, item = self.equal[j + 1].pairs(key[at])
                     yield a + at[which], item
 
-    def search(self, data: np.ndarray, rows: np.ndarray, similarity: float, done: set[tuple[int, int]], check) -> Iterator[tuple[int, int, int]]:
-        """(row, item, distance) of what is not in ``done``, which grows; ``check`` tells an item's distance from a stretch."""
-        text, code, starts = points(data, rows)
-        code = self.number[code]
+    def shares_key(self, classes: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether windows share a key with their items: ``at`` are the pieces' places in classes, ``low`` and ``high`` their rows' bounds."""
+        item, cut = self.piece[piece, 0], self.piece[piece, 1]
+        sizes = [self.first[item + 1] - self.first[item] - cut, cut]
+        begin = self.first[item] + cut
+        steps = [max(1, 2 * int(s.max())) for s in sizes]
+        mine = [walk(classes, at, sizes[0], high, 1, steps[0]), walk(classes, at - 1, sizes[1], low - 1, -1, steps[1])]
+        theirs = [walk(self.own, begin, sizes[0], self.first[item + 1], 1, steps[0]), walk(self.own, begin - 1, sizes[1], self.first[item] - 1, -1, steps[1])]
+        return agreed(mine, theirs, sizes)
+
+    def search(self, text: pa.Array) -> list[list[tuple[int, int]]]:
+        """(number of the item, least distance) of each row's contaminations."""
+        out: list[dict[int, int]] = [{} for _ in range(len(text))]
+        for data, rows, base, inside in slices(*normal(*common.flat_text(text)), 8 * self.reach):
+            for r, k, d in self._search(*points(data, rows), inside):
+                out[base + r][k] = min(d, out[base + r].get(k, d))
+        return [sorted(row.items()) for row in out]
+
+    def _search(self, text: str, code: np.ndarray, starts: np.ndarray, inside: bool) -> Iterator[tuple[int, int, int]]:
+        code = self.number.take(code)
         code[starts[1:][starts[1:] > starts[:-1]] - 1] = 0
         for place, item in self.equals(code):
             row = np.searchsorted(starts, place, "right") - 1
             for r, k, at in zip(row.tolist(), item.tolist(), place.tolist(), strict=True):
-                t = self.short[k]
+                t = self.texts[k]
                 end = at + len(t)
-                if (r, k) not in done and text.startswith(t, at) and end < starts[r + 1] and (at == starts[r] or apart(text[at - 1], t[0])) and apart(t[-1], text[end]):
-                    done.add((r, k))
+                if text.startswith(t, at) and end < starts[r + 1] and (not inside if at == starts[r] else apart(text[at - 1], t[0])) and apart(t[-1], text[end]):
                     yield r, k, 0
-        tried = set()
-        for place, piece in self.places(code) if self.texts else ():
-            row = np.searchsorted(starts, place, "right") - 1
-            item, begin = self.piece[piece, 0], place - self.piece[piece, 1]
-            for r, k, at in zip(row.tolist(), item.tolist(), begin.tolist(), strict=True):
-                most = int((1 - similarity) * len(self.texts[k]) + 1e-9)
-                if (r, k) in done or (r, k, at) in tried:
-                    continue
-                tried.add((r, k, at))
-                d = check(k, text[max(int(starts[r]), at - most) : max(0, min(int(starts[r + 1]) - 1, at + len(self.texts[k]) + most))], most)
-                if d is not None:
-                    done.add((r, k))
-                    yield r, k, d
-
-
-class Index:
-    """The keys of a block of items; those below ``least`` code points are only searched as they are."""
-
-    def __init__(self, items: list[tuple[int, str]], repeats: int = REPEATS, bits: int = BITS, anchors: int = ANCHORS, least: int = 0):
-        self.repeats, self.bits = repeats, bits
-        self.short = {k for k, (_, t) in enumerate(items) if len(t) < least}
-        self.pieces: dict[float, Pieces] = {}
-        text = pa.array([t for _, t in items], pa.string())
-        data, starts, rows, words = normal(*common.flat_text(text))
-        self.ids = [i for i, _ in items]
-        self.texts = [data[a : max(a, b - 1)].tobytes().decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        self.grams = [[[t[j : j + q] for j in range(len(t) - q + 1)] for q in (4, 3)] for t in self.texts]
-        chosen: dict[int, list[tuple[int, int, int]]] = {}
-        listed = words.array(common.LOWER[words.bytes]).to_pylist()
-        self.anchors: dict[int, set[bytes]] = {}
-        for k in range(len(items)):
-            size = int(rows[k + 1] - rows[k]) - 1
-            if size < 4 or k in self.short:
-                continue
-            window = max(4, 1 << int(np.log2(size / 1.5)))
-            own: dict[bytes, int] = {}
-            for w in range(int(words.first[k]), int(words.first[k + 1])):
-                if starts[w] - rows[k] + window <= size or w == words.first[k]:
-                    own.setdefault(listed[w], int(starts[w]))
-            # eight anchors at any rate, more of them only if they are long and so rare
-            for name in [x for n, x in enumerate(sorted(own, key=lambda x: (-len(x), x))[:anchors]) if n < 8 or len(x) >= 5]:
-                chosen.setdefault(window, []).append((own[name], int(rows[k + 1]) - 1, k))
-                self.anchors.setdefault(window, set()).add(name)
-        self.tables = {}
-        for window, places in chosen.items():
-            at, stop, item = (np.array(x, np.int64) for x in zip(*places, strict=True))
-            strings = walk(data, at, stop, window)
-            flat = sampled(strings, window, repeats, min(bits, window)).ravel()
-            order = np.argsort(flat, kind="stable")
-            # keys in order, the place of each, and of each place its item, how far that begins before it, and its string
-            seen = np.zeros(1 << 20, bool)
-            seen[(flat & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.tables[window] = (flat[order], np.repeat(np.arange(len(at)), repeats)[order], item, at - rows[item], strings, seen)
-
-    def search(self, text: pa.Array, similarity: float) -> list[list[tuple[int, int]]]:
-        """(number of the item, distance) of each row's contaminations."""
-        data, starts, rows, words = normal(*common.flat_text(text))
-        out: list[list[tuple[int, int]]] = [[] for _ in range(len(rows) - 1)]
-        if not len(words):
-            return out
-        codes, names = words.codes(common.LOWER[words.bytes])
-        row_of = words.row()
-        found = set()
-        for window, (keys, place, item, back, strings, seen) in self.tables.items():
-            mine = pc.is_in(names, value_set=pa.array(sorted(self.anchors[window]), names.type)).to_numpy(zero_copy_only=False)
-            at_words = np.flatnonzero(mine[codes])
-            behind = strings.shape[1] // 4
-            for k in range(0, len(at_words), 1 << 15):
-                some = at_words[k : k + (1 << 15)]
-                row = row_of[some]
-                own = walk(data, starts[some], rows[row + 1] - 1, window)
-                got = sampled(own, window, self.repeats, min(self.bits, window))
-                maybe = np.flatnonzero(seen[(got.ravel() & np.uint64(0xFFFFF)).astype(np.int64)])  # spares most searches
-                wanted = got.ravel()[maybe]
-                low = np.searchsorted(keys, wanted, "left")
-                n = np.searchsorted(keys, wanted, "right") - low
-                w = np.repeat(maybe // self.repeats, n)
-                e = place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                pairs = np.unique(w * len(item) + e)
-                w, e = pairs // len(item), pairs % len(item)
-                for j in range(0, len(w), 4096):
-                    good = (own[w[j : j + 4096], behind:] == strings[e[j : j + 4096], behind:]).mean(1) >= AGREE
-                    x, y = w[j : j + 4096][good], e[j : j + 4096][good]
-                    found.update(zip(row[x].tolist(), item[y].tolist(), (starts[some[x]] - back[y]).tolist(), strict=True))
-        done: set[tuple[int, int]] = set()
-        for r, k, at in sorted(found):
-            if (r, k) in done:
+        if not self.tables:
+            return
+        front = 512
+        classes = np.zeros(len(code) + 2 * front, np.uint8)
+        self.kind.take(code, out=classes[front : front + len(code)], mode="wrap")
+        opened = [x for x in self.opened(code, classes, front) if len(x[0])]
+        if not opened:
+            return
+        place, piece = (np.concatenate(x) for x in zip(*opened, strict=True))
+        # windows of like sizes meet in a batch
+        order = np.argsort(self.piece[piece, 1], kind="stable")
+        found = []
+        for j in range(0, len(order), 4096):
+            p, q = place[order[j : j + 4096]], piece[order[j : j + 4096]]
+            r = np.searchsorted(starts, p, "right") - 1
+            good = self.shares_key(classes, front + starts[r], front + starts[r + 1], front + p, q)
+            rest = np.flatnonzero(~good)
+            good[rest] = self.groups[1].close(classes, front + p[rest] - self.piece[q[rest], 6], self.piece[q[rest], 5])
+            found.append((r[good], self.piece[q[good], 0], p[good] - self.piece[q[good], 1]))
+        row, item, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, item, row))
+        held: list[int] = []  # row, item, first and last place of the stretch
+        for r, k, a in [*zip(row[order].tolist(), item[order].tolist(), begin[order].tolist(), strict=True), (-1, -1, 0)]:
+            if held and (held[0], held[1]) == (r, k) and a - self.most[k] <= held[3]:
+                held[3] = a + len(self.texts[k]) + self.most[k]
                 continue
-            most = int((1 - similarity) * len(self.texts[k]) + 1e-9)
-            size, slack = len(self.texts[k].encode()), 2 * most + 8
-            a, b = max(int(rows[r]), at - slack), min(int(rows[r + 1]), at + size + slack)
-            near = data[a:b].tobytes().decode("utf-8", "replace")
-            d = self.check(k, near, most)
-            if d is not None:
-                done.add((r, k))
-                out[r].append((k, d))
-        if similarity not in self.pieces:
-            self.pieces[similarity] = Pieces({k: t for k, t in enumerate(self.texts) if t and k not in self.short}, {k: self.texts[k] for k in self.short if len(self.texts[k]) > 1}, similarity)
-        for r, k, d in self.pieces[similarity].search(data, rows, similarity, done, self.check):
-            out[r].append((k, d))
-        return out
-
-    def check(self, k: int, near: str, most: int) -> int | None:
+            if held:
+                r0, k0, x, y = held
+                d = self.check(k0, text[max(int(starts[r0]), x) : max(0, min(int(starts[r0 + 1]) - 1, y))])
+                if d is not None:
+                    yield r0, k0, d
+            held = [r, k, a - self.most[k], a + len(self.texts[k]) + self.most[k]]
+
+    def check(self, k: int, near: str) -> int | None:
+        """The least distance of the item from a part of the stretch, if it is low enough."""
+        if k not in self.grams:
+            t = self.texts[k]
+            self.grams[k] = [[t[j : j + q] for j in range(len(t) - q + 1)] for q in (4, 3)]
         # an edit spoils q of the item's q-character strings at most: too few left, and the search can't succeed
-        if any(sum(map({near[j : j + q] for j in range(len(near) - q + 1)}.__contains__, g)) < len(g) - q * most for q, g in zip((4, 3), self.grams[k], strict=True)):
+        if any(sum(map({near[j : j + q] for j in range(len(near) - q + 1)}.__contains__, g)) < len(g) - q * self.most[k] for q, g in zip((4, 3), self.grams[k], strict=True)):
             return None
-        return distance_within(self.texts[k], near, most)
+        return distance_within(self.texts[k], near, self.most[k])
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -423,13 +480,13 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
             yield got
 
 
-def _mapped(docs: DataFrame, items: list[tuple[int, str]], least: int, run, schema) -> DataFrame:
+def _mapped(docs: DataFrame, items: list[tuple[int, str]], similarity: float, least: int, run, schema) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def mapped(batches):
-        index = common.latest("cgk", name, lambda: Index(sent.value, least=least))
+        index = common.latest("cgk", name, lambda: Index(sent.value, similarity, least))
         yield from run(index, batches)
 
     return docs.mapInArrow(mapped, schema)
@@ -442,14 +499,14 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8,
 
     def run(index, batches):
         for block in common.blocks(batches):
-            hits = [(r, index.ids[k], d) for r, row in enumerate(index.search(block.column(1), similarity)) for k, d in row]
+            hits = [(r, index.ids[k], d) for r, row in enumerate(index.search(block.column(1))) for k, d in row]
             if hits:
                 r, i, d = zip(*hits, strict=True)
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(r)), pa.array(i, pa.int64()), pa.array(d, pa.int32())], names=["doc_id", "item_id", "distance"])
 
     out = None
     for part in _blocks(items, item_id, item_text, block_bytes):
-        got = _mapped(source, part, least, run, schema)
+        got = _mapped(source, part, similarity, least, run, schema)
         out = got if out is None else out.union(got)
     return out if out is not None else source.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("int").alias("distance")).where("false")
 
@@ -460,11 +517,11 @@ def clean(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, least:
 
     def run(index, batches):
         for block in common.blocks(batches):
-            good = [not row for row in index.search(block.column(at), similarity)]
+            good = [not row for row in index.search(block.column(at))]
             yield block.filter(pa.array(good, pa.bool_()))
 
     for part in _blocks(items, item_id, item_text, block_bytes):
-        docs = _mapped(docs, part, least, run, docs.schema)
+        docs = _mapped(docs, part, similarity, least, run, docs.schema)
     return docs
 
 

@@ -1,14 +1,15 @@
 """Token ids of all documents in files of wavelet matrices.
 
 Documents are dealt out in ranges of doc_id, a file for each range. A range's texts are split where the
-byte-level tokenizer's splitter always splits, each distinct piece of a chunk is encoded once, and ids are
+byte-level tokenizer's splitter always splits, each distinct piece of a range is encoded once, and ids are
 put in place; an end id follows each document. A file is a row of segments of at most ``SEGMENT`` ids.
 A segment holds its documents' ids and lengths and a wavelet matrix: for each bit, from the top, the bits of
 all ids in an order where those with zero come first at every level. Rank and select on these planes
 give access, counts and places of an id (class ``Wavelet``) from the compressed file alone.
 
-Pieces of one- and two-byte characters are encoded with tiktoken over the same vocabulary's ranks, which
-gives the ids of the tokenizers library (tests hold them against each other); others with that library.
+All pieces are encoded with the tokenizers library. Plain ones are joined to longer texts for its calls: each
+begins with one space and ends in none, so the library splits there again, and the ids' lengths in bytes,
+which the vocabulary tells, part them.
 
 Segment: ``WVM1``, the length of the rest (8 bytes), a header of JSON after its length (4 bytes), planes,
 and a line feed. Integers are little-endian. Segments can be skipped by their length.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,13 +37,17 @@ from .op03_word_bpe import tokenizer
 
 SEGMENT = 1 << 19
 CHUNK_BYTES = 8 << 20
+#: Bytes of plain pieces that are encoded in one call.
+JOINED = 4096
 MAGIC = b"WVM1"
-#: The splitting pattern of the vocabulary, a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: First bytes behind a space before which no cut is made: other white space may begin there, or a special token.
 UNSURE = np.zeros(256, bool)
 UNSURE[[0xC2, 0xE1, 0xE2, 0xE3, 0x3C]] = True
 UNSURE[common.SPACE] = True
+#: Letters of ASCII and marks behind them at which their run ends, whatever follows (an apostrophe may begin a contraction).
+LETTERS, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = True
+MARKS[list(b",.;:!?)\"")] = True
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -50,84 +56,110 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _ranks(path: str):
-    """tiktoken over the ranks of the tokenizer file's own vocabulary and merges."""
+def _lengths(path: str) -> np.ndarray:
+    """How many bytes an id stands for: a character of a byte-level vocabulary is a byte. Tokenizers that split otherwise are refused."""
 
     def load():
-        import tiktoken
+        t = tokenizer(path)
+        made = json.loads(t.to_str())
+        if made["normalizer"] or made["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": made["pre_tokenizer"].get("trim_offsets"), "use_regex": True}:
+            raise ValueError(f"{path}: pieces are cut for byte-level tokenizers without a normaliser")
+        if any(not x["content"].startswith("<|") or MARKS[list(x["content"].encode())].any() for x in made["added_tokens"]):
+            raise ValueError(f"{path}: pieces may cut an added token")
+        found = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
+        return np.array([0 if x is None else len(x) for x in found], np.int64)
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        # the byte alphabet: printable bytes stand for themselves, the others for code points from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        ids = {bytes(byte[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in byte for c in piece) and not piece.startswith("<|endoftext")}
-        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
-        length = np.zeros(max(ids.values()) + 1, np.int64)
-        for raw, i in ids.items():
-            length[i] = len(raw)
-        return enc, length
-
-    return common.once(f"ranks {path}", load)
+    return common.once(f"lengths {path}", load)
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets of pieces, each within a row, at whose bounds the splitter always splits: before the last of successive spaces, unless what follows is unsure."""
-    space = common.SPACE[data]
-    follows = np.zeros(len(data), bool)
+    """Offsets of pieces, each within a row, at whose bounds the splitter always splits: before the last of successive spaces, unless what follows is unsure, and between a letter and a mark."""
+    at = np.zeros(len(data) + 1, bool)
     if len(data):
-        follows[:-1] = space[:-1] & ~UNSURE[data[1:]]
-        ends = offsets[1:][(offsets[1:] > 0)] - 1
-        follows[ends] = False
-    return np.unique(np.concatenate([np.flatnonzero(follows), offsets]))
+        space = common.SPACE.take(data)
+        np.logical_and(space[:-1], ~UNSURE.take(data[1:]), out=at[: len(data) - 1])
+        ends = offsets[1:][offsets[1:] > 0] - 1
+        at[ends] = False
+        at[1:-1] |= LETTERS.take(data[:-1]) & MARKS.take(data[1:])
+    at[offsets] = True
+    return np.flatnonzero(at)
 
 
-def encode_distinct(listed: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_distinct(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of pieces, and their n + 1 bounds."""
-    enc, length = _ranks(path)
-    spaces = b" \t\n\v\f\r"
+    t, length = tokenizer(path), _lengths(path)
+    data, ends = common.flat_text(pieces)
+    n = len(pieces)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    size = np.diff(ends)
+    begin = ends[:-1]
     # joined, a piece that begins with one space and ends in none stays as it is; others are encoded alone
-    plain, odd = [], []
-    for k, p in enumerate(listed):
-        sure = len(p) > 1 and p[0] in spaces and p[-1] not in spaces and not UNSURE[p[1]] and (p.isascii() or max(p) < 0xE0) and b"<|" not in p
-        (plain if sure else odd).append(k)
-    ids: list = [None] * len(listed)
-    for at in range(0, len(plain), 20000):
-        some = plain[at : at + 20000]
-        got = np.array(enc.encode_ordinary(b"".join([listed[k] for k in some]).decode()), np.int64)
-        token_ends = np.cumsum(length[got])
-        ends = np.cumsum([len(listed[k]) for k in some])
-        bound = np.searchsorted(token_ends, ends)
-        assert len(token_ends) and (token_ends[bound] == ends).all(), "a token crosses a piece's bound"
-        for k, part in zip(some, np.split(got, bound[:-1] + 1), strict=True):
-            ids[k] = part
-    t = tokenizer(path)
-    for k in odd:
-        p = listed[k]
-        if (p.isascii() or max(p) < 0xE0) and b"<|" not in p:
-            ids[k] = enc.encode_ordinary(p.decode())
-        else:
-            ids[k] = t.encode(p.decode("utf-8", "replace"), add_special_tokens=False).ids
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-    return (np.concatenate([np.asarray(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)), bounds
-
-
-def encode_rows(text: pa.Array, path: str, end: int | None = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows, each with the end id behind, and the rows' n + 1 bounds."""
-    data, offsets = common.flat_text(text)
-    at = cuts(data, offsets)
-    coded = common.to_array(data, at).dictionary_encode()
-    values, bounds = encode_distinct(coded.dictionary.to_pylist(), path)
-    got, ends = common.list_take(values.astype(np.int32), bounds, coded.indices.to_numpy(zero_copy_only=False))
-    rows = ends[np.searchsorted(at, offsets)]
-    if end is None:
-        return got, rows
-    n = len(rows) - 1
-    out = np.full(len(got) + n, end, np.int32)
-    keep = np.ones(len(out), bool)
-    keep[rows[1:] + np.arange(n)] = False
-    out[keep] = got
-    return out, rows + np.arange(n + 1)
+    plain = size > 1
+    two = np.minimum(begin + 1, len(data) - 1)
+    plain &= common.SPACE[data[np.minimum(begin, len(data) - 1)]] & ~common.SPACE[data[np.maximum(ends[1:] - 1, 0)]] & ~UNSURE[data[two]]
+    special = np.zeros(len(data), bool)
+    special[:-1] = (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    plain &= common.sums(special, ends) == 0
+    counts = np.zeros(n, np.int64)
+    some = np.flatnonzero(plain)
+    values = []
+    if len(some):
+        text, text_ends = common.flat_text(pieces.take(pa.array(some)))
+        groups = np.unique(np.searchsorted(text_ends, np.arange(0, len(text), JOINED)))
+        bounds = np.append(text_ends[groups], len(text)) if groups[-1] < len(some) else text_ends[groups]
+        raw = text.tobytes()
+        parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in t.encode_batch_fast(parts, add_special_tokens=False)])
+        token_ends = np.cumsum(length[ids])
+        bound = np.searchsorted(token_ends, text_ends[1:])
+        assert token_ends[-1] == len(text) and (token_ends[bound] == text_ends[1:]).all(), "a token crosses a piece's bound"
+        counts[some] = np.diff(bound + 1, prepend=0)
+        values.append(ids)
+    odd = np.flatnonzero(~plain)
+    if len(odd):
+        for e in t.encode_batch_fast([x.decode("utf-8", "replace") for x in pieces.take(pa.array(odd)).to_pylist()], add_special_tokens=False):
+            values.append(np.array(e.ids, np.int64))
+            counts[odd[len(values) - 1 - (len(some) > 0)]] = len(e.ids)
+    # the plain pieces' ids come first, then those of the others: put them in the pieces' order
+    order = np.concatenate([some, odd])
+    put = np.concatenate([[0], np.cumsum(counts[order])])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return common.list_take(np.concatenate(values), put, place)
+
+
+class Encoder:
+    """Encodes texts, each distinct piece once as long as the encoder lives."""
+
+    def __init__(self, path: str):
+        self.path, self.pieces = path, pa.array([], pa.large_binary())
+        self.values, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def rows(self, text: pa.Array, end: int | None = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with the end id behind, and the rows' n + 1 bounds."""
+        data, offsets = common.flat_text(text)
+        at = cuts(data, offsets)
+        coded = common.to_array(data, at).dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.pieces)
+        new = coded.dictionary.filter(place.is_null())
+        values, bounds = encode_distinct(new, self.path)
+        known = len(self.pieces)
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.values = np.concatenate([self.values, values.astype(np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = np.arange(known, len(self.pieces))
+        got, ends = common.list_take(self.values, self.bounds, place[coded.indices.to_numpy(zero_copy_only=False)])
+        rows = ends[np.searchsorted(at, offsets)]
+        if end is None:
+            return got, rows
+        n = len(rows) - 1
+        out = np.full(len(got) + n, end, np.int32)
+        keep = np.ones(len(out), bool)
+        keep[rows[1:] + np.arange(n)] = False
+        out[keep] = got
+        return out, rows + np.arange(n + 1)
 
 
 # ---------------------------------------------------------------- wavelet matrix
@@ -267,8 +299,9 @@ def write_tokens(docs: DataFrame, path: str, tokens: str | None = None, *, doc_i
             made = segment([k for some in keys for k in some], np.concatenate(lengths), np.concatenate(ids), shard, number)
             return pa.RecordBatch.from_arrays([pa.array([made[:-1]], pa.binary())], names=["segment"])
 
+        encoder = Encoder(tokens)  # the distinct pieces of a shard, which is bounded
         for table in common.gathered(batches, most=CHUNK_BYTES):
-            got, rows = encode_rows(common.one(table, "text"), tokens, end)
+            got, rows = encoder.rows(common.one(table, "text"), end)
             names = common.one(table, "doc_id").to_pylist()
             at = 0
             while at < len(names):
@@ -296,7 +329,7 @@ def write_tokens(docs: DataFrame, path: str, tokens: str | None = None, *, doc_i
             yield out()
 
     dealt = slim.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.options(lineSep="\n", compression="none").text(path)
+    dealt.mapInArrow(common.tidy(run), "segment binary").select(F.col("segment").cast("string").alias("value")).write.options(lineSep="\n", compression="none").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, ids: bool = True) -> DataFrame:
@@ -334,7 +367,7 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = True) -> DataFram
                     yield pa.RecordBatch.from_arrays(columns, names=["shard", "number", "doc_id", "n_tokens", "ids_crc32", *["ids"] * ids])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "shard int, number long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return files.select("content").mapInArrow(common.tidy(run), "shard int, number long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def look_up(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -351,7 +384,7 @@ def look_up(spark: SparkSession, path: str, token: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["shard", "segment", "n", "places"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, "shard int, segment int, n long, places array<long>")
+    return files.select("content").mapInArrow(common.tidy(run), "shard int, segment int, n long, places array<long>")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Text that a worker handles at once, in bytes (a single longer document is handled alone).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: The session's limit for an Arrow batch in bytes, and Spark's own value of it.
+BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
 
 
 # ---------------------------------------------------------------- shared folder and settled tables
@@ -63,8 +65,14 @@ def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per context, so that workers import it anywhere."""
+    """Sends this package to the executors, once per context, so that workers import it anywhere.
+
+    Where the session has no limit of its own for an Arrow batch, it gets a small one: executors and workers hold
+    several batches at once.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT_BATCH).removesuffix("b") == DEFAULT_BATCH:
+        spark.conf.set(BATCH, str(2 * BLOCK_BYTES))
     if getattr(sc, "_waymark_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -256,6 +264,42 @@ def latest(slot: str, name: str, make):
 _KEPT: dict[str, object] = {}
 
 
+def tidy(run):
+    """A mapInArrow function that leaves little behind: workers are used again by other operators, and an executor's memory holds all of them.
+
+    What another operator's functions kept is forgotten at the start, and free memory goes back to the system
+    at the end.
+    """
+    owner = run.__module__
+
+    def wrapped(batches):
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def enter(owner: str) -> None:
+    """Forgets what the functions of other modules kept."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+
+
+def release() -> None:
+    """Gives free memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def packed(value: np.ndarray | bytes, level: int = 1) -> bytes:
     import zstandard
 

@@ -92,7 +92,7 @@ def write_warc(pages: DataFrame, path: str, *, records_per_file: int = 20000, **
                 out.append(member(record(i, u, h, d, n, r, k))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    members = typed(pages, **columns).mapInArrow(run, "member binary")
+    members = typed(pages, **columns).mapInArrow(common.tidy(run), "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=records_per_file).text(path)
 
 
@@ -277,7 +277,7 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
                     yield flush(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(common.tidy(run), SCHEMA)
 
 
 def op1_warc_salvage(spark, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             stats = block_stats(block.column(block.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], *[pa.array(stats[n], pa.int64()) for n in names]], names=[*carried, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.tidy(run), schema)
 
 
 def base_failed():
@@ -177,7 +177,7 @@ def _moments(rows: DataFrame, level: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [fixed(F.col(f"x{a}")).alias(f"s{a}") for a in range(d)]
     aggs += [fixed(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"p{a}{b}") for a in range(d) for b in range(a, d)]
-    return rows.groupBy(level).agg(*aggs).mapInArrow(_solve([level]), f"{level} string, n long, mean array<double>, inverse array<double>, logdet double")
+    return rows.groupBy(level).agg(*aggs).mapInArrow(common.tidy(_solve([level])), f"{level} string, n long, mean array<double>, inverse array<double>, logdet double")
 
 
 def _distance():

@@ -224,7 +224,7 @@ def encode_with(docs: DataFrame, emit: _Emit, schema: str, path: str | None = No
     if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
         slim = common.settle(slim, "texts")  # else rows may come in another order when they are read again
     # read twice, once for the words and once for the sequences: dearer by one split, but without a second copy of the sequences on disk
-    split = slim.mapInArrow(_split(buckets, chunk_bytes), split_schema)
+    split = slim.mapInArrow(common.tidy(_split(buckets, chunk_bytes)), split_schema)
     sequences = split.where("bucket < 0").drop("words", "bucket")
     encoded = split.where("bucket >= 0").select("chunk", "stamp", "bucket", "words", "places").groupBy("bucket").applyInArrow(_encode(path), "chunk long, stamp long, bucket int, ids binary, counts binary")
     out = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(schema).fields])
@@ -258,7 +258,7 @@ def decode(encoded: DataFrame, path: str | None = None, *, ids: str = "ids") ->
             text = pa.array([x.decode() for x in decode_rows(values[good], bounds, path)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*rest, "text"])
 
-    return source.mapInArrow(run, source.drop("__ids").schema.add("text", "string"))
+    return source.mapInArrow(common.tidy(run), source.drop("__ids").schema.add("text", "string"))
 
 
 def digests(path: str) -> _Emit:

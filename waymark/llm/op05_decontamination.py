@@ -489,7 +489,7 @@ def _mapped(docs: DataFrame, items: list[tuple[int, str]], similarity: float, le
         index = common.latest("cgk", name, lambda: Index(sent.value, similarity, least))
         yield from run(index, batches)
 
-    return docs.mapInArrow(mapped, schema)
+    return docs.mapInArrow(common.tidy(mapped), schema)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, least: int = 24, block_bytes: int = 4 << 20, item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def train(docs: DataFrame, *, per_lang: int = 1000) -> dict | None:
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 33) / F.lit(float(2**31))
     sample = known.where(drawn < share[F.col("lang")]).where("text is not null").select("lang", "text")
-    counts = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    counts = sample.mapInArrow(common.tidy(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     if not counts.num_rows:
         return None
     langs = sorted(set(counts.column("lang").to_pylist()))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, learned: dict | None, **bounds) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, source.drop("text").schema.add("lang_pred", "string").add("score", "double"))
+    return source.mapInArrow(common.tidy(run), source.drop("text").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def op7_ppm_language(spark, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = source.drop("text").schema
     for c in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(c, "long")
-    return common.settle(source.mapInArrow(_found, schema.add("base", T._parse_datatype_string(SPAN)).add("extra", T._parse_datatype_string(SPAN))), "spans")
+    return common.settle(source.mapInArrow(common.tidy(_found), schema.add("base", T._parse_datatype_string(SPAN)).add("extra", T._parse_datatype_string(SPAN))), "spans")
 
 
 def reliabilities(patterns: list[tuple[int, str, int]], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def judge(found: DataFrame, verdict: dict) -> DataFrame:
             spans = [_joined(_kept(b, e, verdict)) for b, e in zip(base, extra, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[*batch.schema.names[:5], "base_sha256", "spans"])
 
-    return found.mapInArrow(run, found.drop("base", "extra").schema.add("base_sha256", "string").add("spans", "string"))
+    return found.mapInArrow(common.tidy(run), found.drop("base", "extra").schema.add("base_sha256", "string").add("spans", "string"))
 
 
 def redact(docs: DataFrame, verdict: dict) -> DataFrame:
@@ -274,7 +274,7 @@ def redact(docs: DataFrame, verdict: dict) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in out], block.column(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
 
 
 def op8_pii_votes(spark, sf_dir: str) -> DataFrame:

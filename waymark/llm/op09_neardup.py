@@ -170,7 +170,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """The pairs (a, b) whose full sets are similar enough, settled."""
     pairs = common.settle(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = common.settle(texts.join(common.settle(wanted, "wanted"), "rep", "left_semi").mapInArrow(_sets(shingle), "rep long, codes array<long>").dropDuplicates(["rep"]), "sets")
+    sets = common.settle(texts.join(common.settle(wanted, "wanted"), "rep", "left_semi").mapInArrow(common.tidy(_sets(shingle)), "rep long, codes array<long>").dropDuplicates(["rep"]), "sets")
     left = common.join_checked(pairs, sets.select(F.col("rep").alias("a"), F.col("codes").alias("codes_a")), ["a"], most=0)
     full = common.join_checked(left, sets.select(F.col("rep").alias("b"), F.col("codes").alias("codes_b")), ["b"], most=0)
     both = F.size(F.array_intersect("codes_a", "codes_b"))
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     spread = math.sqrt(percent / 100 * (1 - percent / 100) / size)
     least = math.floor(size * (percent / 100 - 5 * spread))
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = common.settle(slim.mapInArrow(_signed(bands, rows, shingle), "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, sig binary"), "signed")
+    signed = common.settle(slim.mapInArrow(common.tidy(_signed(bands, rows, shingle)), "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>, sig binary"), "signed")
     # 1. classes of equal sets
     classes = common.settle(signed.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("rep is not null"), "classes")
     # one row of a class goes on: that of its smallest id; ids and classes are unique here, so nothing is skewed
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     sigs = reps.select("rep", "sig")
     # 3. stars
     stars = members.where("rep <> pivot").select("rep", "pivot").distinct()
-    stars = stars.join(sigs, "rep").withColumnRenamed("sig", "sig_rep").join(sigs.withColumnsRenamed({"rep": "pivot", "sig": "sig_pivot"}), "pivot").mapInArrow(_agreement(size), "rep long, pivot long, agree int")
+    stars = stars.join(sigs, "rep").withColumnRenamed("sig", "sig_rep").join(sigs.withColumnsRenamed({"rep": "pivot", "sig": "sig_pivot"}), "pivot").mapInArrow(common.tidy(_agreement(size)), "rep long, pivot long, agree int")
     stars = stars.where(F.col("agree") >= least)
     best = stars.groupBy("rep").agg(F.max(F.struct("agree", "pivot")).alias("s1"), F.max(F.when(F.pmod(F.xxhash64("pivot"), F.lit(2)) == 0, F.struct("agree", "pivot"))).alias("s2"), F.max(F.when(F.pmod(F.xxhash64("pivot"), F.lit(2)) == 1, F.struct("agree", "pivot"))).alias("s3"))
     chosen = best.select("rep", F.explode(F.array_distinct(F.array_compact(F.array("s1.pivot", "s2.pivot", "s3.pivot")))).alias("pivot")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -320,11 +320,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     as_member = open_.select("key", "rep", "label", F.lit(False).alias("probe"), F.lit(True).alias("member"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), cells_p - 1), lambda p: p * cells_m + mine_m)).alias("cell"))
     as_probe = open_.where(is_probe).select("key", "rep", "label", F.lit(True).alias("probe"), F.lit(False).alias("member"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), cells_m - 1), lambda m: mine_p * cells_m + m)).alias("cell"))
     placed = as_member.union(as_probe).join(sigs, "rep").select("key", "cell", "rep", "label", "probe", "member", "sig")
-    near = placed.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_screen(size, least), placed.schema)
+    near = placed.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(common.tidy(_screen(size, least)), placed.schema)
     near = common.settle(near, "near")
-    sets = common.settle(texts.join(common.settle(near.select("rep").distinct(), "wanted"), "rep", "left_semi").mapInArrow(_sets(shingle), "rep long, codes array<long>").dropDuplicates(["rep"]), "sets")
+    sets = common.settle(texts.join(common.settle(near.select("rep").distinct(), "wanted"), "rep", "left_semi").mapInArrow(common.tidy(_sets(shingle)), "rep long, codes array<long>").dropDuplicates(["rep"]), "sets")
     full = common.join_checked(near, sets, ["rep"], most=0).select(*near.columns, "codes").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    more = common.settle(full.mapInArrow(_link(size, least, percent), "a long, b long"), "more")
+    more = common.settle(full.mapInArrow(common.tidy(_link(size, least, percent)), "a long, b long"), "more")
     labels = components(links.union(more))
     # back to documents: only classes of several copies or with links say more than the document itself
     told = common.join_checked(classes, labels.withColumnRenamed("node", "rep"), ["rep"], "left").where("copies > 1 or label is not null").select("c1", "c2", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

@@ -200,7 +200,7 @@ def predict(docs: DataFrame, learned: dict | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([common.one(table, "doc_id"), pa.array(np.round(score.astype(np.float64), 6), pa.float64())], names=["doc_id", "score"])
 
     source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, source.drop("text").schema.add("score", "double"))
+    return source.mapInArrow(common.tidy(run), source.drop("text").schema.add("score", "double"))
 
 
 def op10_byte_cnn(spark, sf_dir: str) -> DataFrame:

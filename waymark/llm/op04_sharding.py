@@ -18,6 +18,7 @@ rows are interchangeable); extra columns may be carried along; an empty table gi
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,13 +50,31 @@ def draw_matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def _large(rng, good: int, bad: int, need: int) -> int:
-    """A draw over more than 1e9 rows, numpy's limit: a rounded normal of the same mean and variance. Shard sizes stay exact; only the law of the counts is approximate there."""
-    if not good or not bad:
-        return need if not bad else 0
-    mean = need * good / (good + bad)
-    spread = mean * bad / (good + bad) * (good + bad - need) / max(1, good + bad - 1)
+    """A hypergeometric draw of any size by ratio of uniforms (Stadlober 1990); numpy's ends at 1e9 rows."""
+    total = good + bad
     low, high = max(0, need - bad), min(need, good)
-    return int(min(high, max(low, round(rng.normal(mean, spread**0.5)))))
+    if low == high:
+        return low
+    mean = need * (good / total)
+    spread = mean * (bad / total) * ((total - need) / max(1, total - 1))
+    mode = min(high, max(low, (need + 1) * (good + 1) // (total + 2)))
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(spread + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high:
+            gain = -sum(_log_factorials(x, y) for x, y in ((k, mode), (good - k, good - mode), (need - k, need - mode), (bad - need + k, bad - need + mode)))
+            if 2 * math.log(u) <= gain:
+                return k
+
+
+def _log_factorials(x: int, y: int) -> float:
+    """log(x! / y!), exact to about 1e-8 even where both are huge and close to each other."""
+    if min(x, y) < 1000:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    # Stirling's series, with the difference taken before anything is rounded
+    d = x - y
+    return (y + 0.5) * math.log1p(d / y) + d * (math.log(x) - 1) + (1 / x - 1 / y) / 12 - (x**-3.0 - y**-3.0) / 360
 
 
 def _range(key: str, ranges: int) -> Column:

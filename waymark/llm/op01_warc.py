@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VERSION = b"WARC/1.1"
+#: Bytes that are unpacked at once.
+SLICE = 16 << 10
 #: An empty gzip member; it ends with a zero.
 EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -205,16 +207,18 @@ def _at(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
     if data[at : at + 2] != b"\x1f\x8b":
         found, end = _parse(data, at)
         return [found], end, None
-    opener = zlib.decompressobj(31)
+    # in slices: what stands behind a member is copied into unused_data, so that must stay short
+    opener, out, end = zlib.decompressobj(31), [], at
     try:
-        raw = opener.decompress(memoryview(data)[at:])
-        bad = None if opener.eof else "member cut short"
+        while end < len(data) and not opener.eof:
+            part = data[end : end + SLICE]
+            out.append(opener.decompress(part))
+            end += len(part) - len(opener.unused_data)
+        raw, bad = b"".join(out), None if opener.eof else "member cut short"
     except zlib.error:
         bad = "member"
     if bad:
         raw, end = _unpacked(data, at)
-    else:
-        end = len(data) - len(opener.unused_data)
     found, reason = _inside(raw)
     if not found and (bad or reason):
         raise Bad(bad or reason)

@@ -43,7 +43,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-]*[0-9])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
-SPELLED = re.compile(r"(?<![\w.+-])([A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+SPELLED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\bat\b)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]++)++", re.I)
 SECRET = re.compile(r"(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{8,}+)", re.I)
 #: The gazetteers, fixed values.
 DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at it nl be".split())
@@ -52,6 +52,8 @@ CUES = {"email": r"mail|contact|write|@", "ip": r"\bip\b|host|server|address|log
 CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
 PLAIN = re.compile(r"(?:page|vol|no|isbn|version|v|fig|chapter|\$|€|#)\.?\s?$", re.I)
 LABELERS = 7
+#: The weight of all candidates together against the ridge's, which is 1.
+WEIGHT = 1e4
 
 
 def luhn(digits: str) -> bool:
@@ -208,7 +210,8 @@ def fit(patterns: list[tuple[int, str, int]], rounds: int = 30) -> np.ndarray:
         return np.zeros(1 + len(KINDS) + 2 * LABELERS + 1)
     _, p = reliabilities(patterns)
     x = np.array([_features(k, v) for k, v, _ in patterns])
-    n = np.minimum(np.array([c for *_, c in patterns], float), 1e6)
+    n = np.array([c for *_, c in patterns], float)
+    n *= WEIGHT / n.sum()  # shares: the size of a corpus must not change the ridge's part
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

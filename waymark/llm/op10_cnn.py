@@ -31,6 +31,8 @@ WIDTH, HALF, EMBED, FILTERS, HIDDEN = 4, 64, 8, 24, 16
 #: Distances in bytes at which repetition is looked for.
 LAGS = tuple(range(2, 17))
 NEVER = np.float32(-1e9)
+#: Bytes that are laid out at once, a multiple of a half's.
+SLICE = 1 << 20
 
 
 class Layout:
@@ -90,11 +92,28 @@ class Net:
         out[~x.real] = NEVER
         return out, e
 
+    def halves(self, data: np.ndarray) -> np.ndarray:
+        """The maxima of each half of one text, slice by slice: neighbours lend a half to each side of a slice."""
+        step, parts = HALF * WIDTH, []
+        for a in range(0, len(data), SLICE):
+            begin, end = max(0, a - step), min(len(data), a + SLICE + step)
+            out, _ = self.conv(Layout(data[begin:end], np.array([0, end - begin])))
+            got = out.reshape(-1, HALF, FILTERS).max(1)[(a - begin) // step :]
+            parts.append(got[: SLICE // step])
+        return np.concatenate(parts)
+
+    def score_long(self, data: np.ndarray) -> np.ndarray:
+        """The score of one text of more than a slice."""
+        half = self.halves(data)
+        return self._scored(np.maximum(np.maximum(half[:-1], half[1:]), 0), np.array([0, len(half) - 1]))
+
     def score(self, x: Layout) -> np.ndarray:
         out, _ = self.conv(x)
         half = out.reshape(-1, HALF, FILTERS).max(1)
         left, right, begin = x.chunks()
-        chunk = np.maximum(np.maximum(half[left], half[right]), 0)
+        return self._scored(np.maximum(np.maximum(half[left], half[right]), 0), begin)
+
+    def _scored(self, chunk: np.ndarray, begin: np.ndarray) -> np.ndarray:
         doc = np.concatenate([np.add.reduceat(chunk, begin[:-1], axis=0) / np.diff(begin)[:, None], np.maximum.reduceat(chunk, begin[:-1], axis=0)], 1)
         hidden = np.tanh(doc @ self.p["H"] + self.p["h"])
         return 1 / (1 + np.exp(-np.clip(hidden @ self.p["o"] + self.p["z"], -40, 40)))
@@ -196,7 +215,11 @@ def predict(docs: DataFrame, learned: dict | float) -> DataFrame:
 
             net = common.latest("cnn", name, make)
         for table in common.gathered(batches, most=1 << 20):
-            score = np.full(table.num_rows, net) if isinstance(net, float) else net.score(Layout(*common.flat_text(common.one(table, "text"))))
+            data, offsets = common.flat_text(common.one(table, "text"))
+            if isinstance(net, float):
+                score = np.full(table.num_rows, net)
+            else:  # a text of more than a slice comes alone
+                score = net.score_long(data) if table.num_rows == 1 and len(data) > SLICE else net.score(Layout(data, offsets))
             yield pa.RecordBatch.from_arrays([common.one(table, "doc_id"), pa.array(np.round(score.astype(np.float64), 6), pa.float64())], names=["doc_id", "score"])
 
     source = docs.select("doc_id", "text")

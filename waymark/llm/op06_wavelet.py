@@ -328,7 +328,8 @@ def write_tokens(docs: DataFrame, path: str, tokens: str | None = None, *, doc_i
         if held:
             yield out()
 
-    dealt = slim.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # rows without an id, or with the same one, are parted by their texts
+    dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     dealt.mapInArrow(common.tidy(run), "segment binary").select(F.col("segment").cast("string").alias("value")).write.options(lineSep="\n", compression="none").text(path)
 
 
@@ -371,17 +372,16 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = True) -> DataFram
 
 
 def look_up(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """Per shard and segment: how often the token occurs and the first places, from rank and select alone."""
+    """Per shard and segment: how often the token occurs and its places, by rank and select; a segment bounds a row."""
     common.ship(spark)
 
     def run(batches):
         for batch in batches:
-            out = []
             for content in batch.column(0):
                 for head, matrix in open_segments(content.as_py()):
                     n = matrix.count(token)
-                    out.append((head["shard"], head["number"], n, [matrix.select(token, k) for k in range(n)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["shard", "segment", "n", "places"])
+                    row = (head["shard"], head["number"], n, [matrix.select(token, k) for k in range(n)])
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["shard", "segment", "n", "places"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(common.tidy(run), "shard int, segment int, n long, places array<long>")

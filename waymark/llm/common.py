@@ -2,13 +2,14 @@
 
 A settled table is a Parquet table in the folder that all executors share. It cuts lineage, gives
 Catalyst true sizes and outlives lost executors. The folder is the session's
-``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+``spark.checkpoint.dir``; only where that is unset and the session is local (tests) a temporary one is made.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,13 +35,23 @@ BATCH, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; removed when the driver ends."""
+    """A folder of this application below ``spark.checkpoint.dir``; the driver's JVM removes it when it ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         top = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", top)
         atexit.register(shutil.rmtree, top.removeprefix("file://"), ignore_errors=True)
-    return f"{top.rstrip('/')}/waymark-{spark.sparkContext.applicationId}"
+    folder = f"{top.rstrip('/')}/waymark-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_waymark_folder", None) != folder:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        spark.sparkContext._waymark_folder = folder
+    return folder
 
 
 def settled_path(spark: SparkSession, name: str) -> str:
@@ -94,6 +105,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether df is no more than columns and rows of files, which come in the same order whenever they are read."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "DataSourceV2ScanRelation")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """The size of a table's files where Catalyst knows it, else the bytes of its texts, counted."""
     known = plan_bytes(df)
@@ -102,7 +121,7 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"])
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = 8 << 20) -> DataFrame:
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = 2 << 20) -> DataFrame:
     """Joins a settled right side: broadcast if its files are below ``most``, else shuffled.
 
     Both sides of the shuffled form come straight from scans, so adaptive execution can split a

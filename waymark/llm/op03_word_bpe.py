@@ -8,7 +8,8 @@ encoded once.
    numbers) and one row for each bucket of its distinct words; a word's bucket is its hash's.
 2. ``encode``: a group of all rows of a bucket is that part of the distinct-word table; its distinct words
    are encoded once, and each chunk gets back the ids of its words. A word comes at most once from a
-   chunk, so frequent words don't make a bucket hot; buckets grow in number with the input.
+   chunk, so frequent words don't make a bucket hot. Buckets grow in number with the input; from 256 GB
+   on, when their rows would become too small, a bucket is split by chunks instead, so a group stays bounded.
 3. ``join``: a chunk's sequence row and its encoded rows meet again, and ids are put in place by position.
 
 Decoding joins ids to their pieces (the vocabulary has a fixed size) and joins pieces by one space, as
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 from . import common
 
 CHUNK_BYTES = 16 << 20
+#: Bytes of input whose distinct words of a bucket meet in one group.
+BUCKET_BYTES = 256 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -217,16 +220,18 @@ def encode_with(docs: DataFrame, emit: _Emit, schema: str, path: str | None = No
     """A row per row of docs: doc_id and the columns that ``emit`` makes of its ids."""
     common.ship(docs.sparkSession)
     path = path or vocabulary()
-    buckets = buckets or max(8, min(32768, common.plan_bytes(docs) // (8 << 20)))
+    size = common.text_bytes(docs, text)
+    buckets = buckets or max(8, min(32768, size // (8 << 20)))
+    parts = max(1, -(-size // (buckets * BUCKET_BYTES)))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc_id"].dataType
     split_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("stamp", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(kind)), *[T.StructField(c, T.BinaryType()) for c in ("words", "places", "homes", "counts")]])
-    if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
+    if not common.from_files(slim):
         slim = common.settle(slim, "texts")  # else rows may come in another order when they are read again
     # read twice, once for the words and once for the sequences: dearer by one split, but without a second copy of the sequences on disk
     split = slim.mapInArrow(common.tidy(_split(buckets, chunk_bytes)), split_schema)
     sequences = split.where("bucket < 0").drop("words", "bucket")
-    encoded = split.where("bucket >= 0").select("chunk", "stamp", "bucket", "words", "places").groupBy("bucket").applyInArrow(_encode(path), "chunk long, stamp long, bucket int, ids binary, counts binary")
+    encoded = split.where("bucket >= 0").select("chunk", "stamp", "bucket", "words", "places").groupBy("bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts))).applyInArrow(_encode(path), "chunk long, stamp long, bucket int, ids binary, counts binary")
     out = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string(schema).fields])
     return sequences.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_join(emit, buckets), out)
 

@@ -88,6 +88,21 @@ def test_warc_members_of_many():
         assert ids(sums + last) == list(range(9)) and [g[2] for g in gaps(sums + last)][0] == "member"
 
 
+def test_warc_linear():
+    """Twice the members take about twice the time."""
+    import time
+
+    one = op01_warc.member(op01_warc.record(1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 200, None, "response"))
+
+    def seconds(n):
+        began = time.process_time()
+        assert sum(1 for _ in op01_warc.salvage(one * n)) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert min(seconds(8000) for _ in range(2)) < 3 * max(0.05, min(seconds(4000) for _ in range(2)))
+
+
 def test_warc_of_others():
     """Records of other writers: no private header, sha1 digests, all types."""
     import base64
@@ -198,6 +213,24 @@ def test_matrix():
     assert np.allclose(mean, 2.5, atol=0.15)
 
 
+def test_large_draws():
+    """The draws beyond numpy's limit follow the same law: against it where both can draw, and by moments where only one can."""
+    rng = np.random.default_rng(5)
+    for good, bad, need in ((5000, 7000, 900), (30, 10, 25), (10**6, 10**5, 10**4)):
+        mine = np.array([op04_sharding._large(rng, good, bad, need) for _ in range(4000)])
+        theirs = rng.hypergeometric(good, bad, need, 40000)
+        assert abs(mine.mean() - theirs.mean()) < 5 * theirs.std() / 4000**0.5 and abs(mine.std() / theirs.std() - 1) < 0.06
+        for q in (0.1, 0.5, 0.9):
+            cut = np.quantile(theirs, q)
+            assert abs((mine <= cut).mean() - (theirs <= cut).mean()) < 0.04
+    good, bad, need = 3 * 10**12, 7 * 10**12, 10**12
+    mine = np.array([op04_sharding._large(rng, good, bad, need) for _ in range(2000)], float)
+    spread = (need * 0.3 * 0.7 * 0.9) ** 0.5
+    assert abs(mine.mean() - need * 0.3) < 5 * spread / 2000**0.5 and abs(mine.std() / spread - 1) < 0.08
+    m = np.array(op04_sharding.draw_matrix([10**10, 3 * 10**9 + 7, 5], 40, 3))
+    assert m.sum(1).tolist() == [10**10, 3 * 10**9 + 7, 5] and m.sum(0).max() - m.sum(0).min() <= 1
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -379,7 +412,7 @@ def plain_ppm(texts, sample):
     return counts, symbols
 
 
-def test_ppm_lengths():
+def test_ppm_lengths(monkeypatch):
     texts = ["the cat sat on the mat", "a cat and a hat"]
     counts, symbols = plain_ppm(texts, None)
     grams = Counter()
@@ -389,11 +422,12 @@ def test_ppm_lengths():
             grams[b[k] | b[k - 1] << 8 | b[k - 2] << 16 | b[k - 3] << 24] += 1
     keys = np.array(sorted(grams))
     model = op07_language.Model({"langs": ["x"], "grams": keys, "counts": np.array([[grams[k]] for k in keys.tolist()])})
+    monkeypatch.setattr(op07_language, "SLICE", 5)
+    both = model.lengths(*common.flat_text(pa.array(["", "the hat", None, "zebra the", "ö"])))
     for text in ("the hat", "cat and mat on", "zebra the"):
-        # unknown bytes share symbol 0 with the places before a text
-        b, total = b"\0\0\0" + bytes(c if c in symbols else 0 for c in text.encode()), 0.0
+        b, total = b"\0\0\0" + text.encode(), 0.0
         for k in range(3, len(b)):
-            p = 1 / (len(symbols) + 1)
+            p = 1 / 256
             for n in range(4):
                 c = counts.get(b[k - n : k])
                 if c:
@@ -402,6 +436,8 @@ def test_ppm_lengths():
             total -= np.log2(p)
         got = model.lengths(*common.flat_text(pa.array([text])))[0, 0]
         assert abs(got - total) < 1e-3, text
+        assert text == "cat and mat on" or abs(both[1 if text == "the hat" else 3, 0] - total) < 1e-3
+    assert both[0, 0] == both[2, 0] == 0 and both[4, 0] > 0
 
 
 def test_language(spark, docs, edge):
@@ -561,6 +597,35 @@ def test_cnn_gradients():
             assert abs((up - down) / (2 * step) - g[k][at]) < 2e-3, k
 
 
+def test_cnn_slices(monkeypatch):
+    """A text in slices has the score of the text laid out at once."""
+    monkeypatch.setattr(op10_cnn, "SLICE", 1024)
+    net, rng = op10_cnn.Net(3), random.Random(8)
+    for n in (1025, 1300, 2048, 5000, 9999):
+        text = pa.array(["".join(rng.choice("ab cd$ ef") * rng.randint(1, 3) for _ in range(n))[:n]])
+        data, offsets = common.flat_text(text)
+        assert abs(net.score_long(data)[0] - net.score(op10_cnn.Layout(data, offsets))[0]) < 1e-5
+
+
+def test_cnn_plain():
+    """Scores against a convolution written out position by position."""
+    net = op10_cnn.Net(4)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for text in ("", "abc", "abcdabcdabcd $$ abcdabcd " * 20, "é" * 300):
+        raw = text.encode()
+        n, halves = max(1, -(-len(raw) // 4)), max(1, -(-len(raw) // 256))
+        at = lambda k: [raw[k + j] if k + j < len(raw) else 0 for j in range(4)]
+        cell = [at(4 * k) for k in range(n)] + [[0] * 4]
+        again = [k * 4 >= 16 and any(cell[k]) and any([raw[4 * k - d + j] if 4 * k - d + j < len(raw) else 0 for j in range(4)] == cell[k] for d in op10_cnn.LAGS) for k in range(n)] + [False]
+        e = [np.concatenate([p["E"][b] for b in c]) for c in cell]
+        out = np.array([e[k] @ p["A"] + e[k + 1] @ p["B"] + again[k] * p["R"][0] + again[k + 1] * p["R"][1] + p["c"] for k in range(n)])
+        tops = [out[h * 64 : h * 64 + 64].max(0) for h in range(halves)]
+        chunks = np.maximum([np.maximum(tops[k], tops[k + 1]) for k in range(halves - 1)] or [tops[0]], 0)
+        hidden = np.tanh(np.concatenate([chunks.mean(0), chunks.max(0)]) @ p["H"] + p["h"])
+        want = 1 / (1 + np.exp(-(hidden @ p["o"] + p["z"][0])))
+        assert abs(net.score(op10_cnn.Layout(*common.flat_text(pa.array([text]))))[0] - want) < 1e-4, text[:20]
+
+
 def test_cnn(spark, edge):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))

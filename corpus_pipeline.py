@@ -13,36 +13,42 @@ from pyspark.sql import functions as F
 from waymark.llm import common, op02_quality, op03_word_bpe, op05_decontamination, op08_pii, op09_neardup
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs without the ids that the verdicts (doc_id, kept) reject.
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with an id of each row (the column's name is returned): doc_id, where that is the row's alone.
 
-    Rejected ids are settled and joined from a checked size. An id that occurs in several rows is
-    rejected if one of them is; null ids are judged as one.
+    Rows whose doc_id is null or stands in several rows get a negative hash of the whole row, so different
+    rows are told apart, and only equal rows share an id. Such ids are settled and joined from a checked size.
     """
-    gone = common.settle(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "rejected")
-    side = F.broadcast(gone) if common.plan_bytes(gone) <= 4 << 20 else gone
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    uid, odd, n = ("_".join(["", name, *["x"] * len([c for c in docs.columns if c.startswith(f"_{name}")])]) for name in ("uid", "odd", "n"))
+    repeated = docs.groupBy(F.col("doc_id").alias(odd)).agg(F.count(F.lit(1)).alias(n)).where((F.col(n) > 1) | F.col(odd).isNull())
+    repeated = common.settle(repeated.select(odd), "repeated")
+    if not repeated.limit(1).count():
+        return docs.withColumn(uid, F.col("doc_id")), uid
+    marked = repeated.select(odd, F.lit(True).alias(n))
+    marked = F.broadcast(marked) if common.plan_bytes(repeated) <= 2 << 20 else marked
+    own = -F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))), 2) - 1
+    rows = docs.join(marked, F.col("doc_id").eqNullSafe(F.col(odd)), "left")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(n), own).otherwise(F.col("doc_id")).alias(uid)), uid
+
+
+def _kept(rows: DataFrame, uid: str, verdicts: DataFrame) -> DataFrame:
+    """The rows without those that the verdicts (doc_id, kept) by uid reject, which are settled and joined from a checked size."""
+    gone = common.settle(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(uid)).distinct(), "rejected")
+    return common.join_checked(rows, gone, [uid], "left_anti", most=4 << 20)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _kept(docs, op02_quality.quality_rules(docs).select("doc_id", "kept"))
+    """Documents that the quality rules keep. Each row is judged on its own, whatever its id."""
+    rows, uid = _identified(docs)
+    return _kept(rows, uid, op02_quality.quality_rules(rows, doc_id=uid).select("doc_id", "kept")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8), that of the smallest id.
-
-    Rows that repeat an id can't be told apart by it: of those that stay, one row with the smallest text is kept.
-    """
-    docs = _kept(docs, op09_neardup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"))
-    again = common.settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not again.limit(1).count():
-        return docs
-    single = common.join_checked(docs, again, ["doc_id"], "left_anti")
-    several = common.join_checked(docs, again, ["doc_id"], "left_semi")
-    names = [c for c in docs.columns if c != "doc_id"]
-    least = several.groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *[F.col(c).alias(f"_{c}") for c in names])).alias("row"))
-    return single.unionByName(least.select("doc_id", *[F.col(f"row._{c}").alias(c) for c in names]).select(*docs.columns))
+    """One document of each group of near-duplicates (five-word shingles, 0.8), that of the smallest id; rows with null or repeated ids count as smaller than others. Of equal rows one stays."""
+    rows, uid = _identified(docs)
+    kept = _kept(rows, uid, op09_neardup.near_duplicates(rows, shingle=5, percent=80, doc_id=uid).select("doc_id", "kept"))
+    odd = kept.where(F.col(uid) < 0).dropDuplicates([uid])
+    return kept.where(F.col(uid) >= 0).unionByName(odd).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

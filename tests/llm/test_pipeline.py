@@ -51,3 +51,16 @@ def test_repeated_and_null_ids(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         df = corpus_pipeline.common.settle(stage(spark, df, sf), "test")
     assert {r["doc_id"] for r in df.collect()} <= {1, 3, None} and df.where("doc_id = 1").count() == 1
+
+
+def test_rows_of_one_id(spark, sf):
+    """Rows that share an id, or have none, are judged one by one: a bad one takes no other with it, and different texts all stay."""
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(7, a), (7, b), (7, "too short"), (None, c), (None, d), (None, None), (None, c), (8, text())]
+    df = spark.createDataFrame([(i, t, "en", "s", None, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _uid boolean")
+    kept = corpus_pipeline.quality(spark, df, sf)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if t and len(t) > 20)
+    left = corpus_pipeline.near_dedup(spark, corpus_pipeline.common.settle(kept, "test"), sf)
+    assert left.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == sorted([(7, a), (7, b), (0, c), (0, d), (8, rows[-1][1])])

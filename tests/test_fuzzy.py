@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from waymark.operators import fuzzy
 
 CASES = [
@@ -51,6 +53,9 @@ def test_random(spark):
     rng = random.Random(3)
     texts = [(i, "".join(rng.choice("ABC ") for _ in range(rng.randint(1, 14)))) for i in range(60)]
     entries = sorted({"".join(rng.choice("ABC") for _ in range(rng.randint(1, 8))) for _ in range(40)})
-    got = fuzzy.greedy(fuzzy.gated(fuzzy.windows(spark.createDataFrame(texts, "addr_id long, text string"), fuzzy.candidates(spark.createDataFrame([(e, ["X"]) for e in entries], "possibility string, origins array<string>")), 1), 80)).collect()
+    rows = spark.createDataFrame([(e,) for e in entries], "possibility string")
+    pairs = fuzzy.seeded(spark.createDataFrame(texts, "addr_id long, text string"), rows, 1)
+    pairs = pairs.withColumn("found", fuzzy.within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases"))).where(fuzzy.open_gate(F.col("found"), F.col("possibility"), 80))
+    got = pairs.select("addr_id", "possibility", F.explode(fuzzy.greedy(F.col("found"))).alias("w")).select("addr_id", "possibility", "w.*").collect()
     have = sorted((r["addr_id"], r["possibility"], r["dist"], r["start"], r["stop"]) for r in got)
     assert have == sorted((i, e, *x) for i, t in texts for e in entries for x in brute(t, e))

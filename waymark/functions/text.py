@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 
 @cache
 def latin_table() -> tuple[str, str, dict[str, str]]:
-    """Transliteration of Latin letters: two strings for 1:1 replacement, and the longer replacements.
+    """Transliteration of Latin, Greek and Cyrillic letters: two strings for 1:1 replacement, and the longer replacements.
 
-    Letters of U+00A0 to U+024F are taken apart by Unicode's own decompositions; letters that have none
-    are listed. Other scripts are outside the covered range and removed.
+    Letters are taken apart by Unicode's own decompositions; letters that have none, and the base letters of
+    Greek and Cyrillic, are listed. Other scripts are outside the covered range and removed.
     """
+    # fixed values: Greek and Cyrillic base letters in lower case
+    base = dict(zip("αβγδεζηικλμνξοπρσςτυωабвгдезиклмнопрстуфыэйіѓќ", "abgdezeiklmnxoprsstuoabvgdeziklmnoprstufyeiigk", strict=True))
+    base |= {"θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ь": "'", "ю": "iu", "я": "ia", "ё": "io", "ђ": "dj", "є": "ie", "ї": "yi", "љ": "lj", "њ": "nj", "ћ": "tsh", "џ": "dzh"}
     listed = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T", "–": "-", "—": "-", "‘": "'", "’": "'", "´": "'", "“": '"', "”": '"', " ": " "}
-    longer = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ĳ": "ij", "Ĳ": "IJ", "᠀": " @ "}
-    for code in range(0xA0, 0x250):
+    longer = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ẞ": "SS", "€": "EUR", "№": "No", "ĳ": "ij", "Ĳ": "IJ", "᠀": " @ "}
+    for code in [*range(0xA0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)]:
         c = chr(code)
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if ord(x) < 128)
-        if c not in listed and c not in longer and len(plain) == 1 and plain.isalpha():
+        low = c.lower()
+        parts = [low] if low in base else [x for x in unicodedata.normalize("NFKD", low) if ord(x) < 128 or x in base]
+        plain = "".join(base.get(x, x) for x in parts)
+        if c in listed or c in longer or len(parts) != 1 or not (parts[0] in base or plain.isalpha()):
+            continue
+        plain = plain.capitalize() if c != low else plain
+        if len(plain) == 1:
             listed[c] = plain
+        else:
+            longer[c] = plain
     return "".join(listed), "".join(listed.values()), longer
 
 
@@ -32,12 +42,16 @@ def let(value: Column, fn) -> Column:
 
 
 def transliterate(x: Column) -> Column:
-    """ASCII form of Latin text, then @ as a and a backtick as an apostrophe."""
+    """ASCII form of Latin, Greek and Cyrillic text, then @ as a and a backtick as an apostrophe. Text that is ASCII already passes by the tables."""
     one, to, longer = latin_table()
-    x = F.translate(x, one, to)
+    plain = F.octet_length(x) == F.length(x)
+    y = F.translate(x, one, to)
+    # most text needs none of the longer replacements: they are tried where one of their letters stands
+    full = y
     for a, b in longer.items():
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.translate(F.regexp_replace(x, "[^\\x00-\\x7F]", ""), "@`", "a'")
+        full = F.replace(full, F.lit(a), F.lit(b))
+    y = F.when(F.regexp_like(y, F.lit("[" + "".join(longer) + "]")), full).otherwise(y)
+    return F.translate(F.when(plain, x).otherwise(F.regexp_replace(y, "[^\\x00-\\x7F]", "")), "@`", "a'")
 
 
 def transliterate_sql(x: str) -> str:

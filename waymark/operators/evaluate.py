@@ -29,11 +29,11 @@ def allocation(grouped: DataFrame, limit: int) -> DataFrame:
 
 
 def plan(grouped: DataFrame, limit: int, seed: int = 42) -> DataFrame:
-    """(stratum, draw, country, town, offset): for each draw a group of the stratum, with replacement, and a row of it, by an arithmetic hash of the draw."""
+    """(stratum, draw, country, town, offset): for each draw a group of the stratum, with replacement, and a row of it, by two independent hashes of seed, stratum and draw."""
     numbered = grouped.withColumn("g", F.row_number().over(W.partitionBy("stratum").orderBy("country", "town")) - 1)
     draws = allocation(grouped, limit).where("draws > 0").select("stratum", "groups", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("draw"))
-    h = (F.col("draw") * 7919 + F.lit(seed) * 104729) % 1000003
-    picked = draws.withColumn("g", (h % F.col("groups")).cast("int")).withColumn("h", h)
+    h = lambda what: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"{seed}/{what}"), "stratum", F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
+    picked = draws.withColumn("g", (h("group") % F.col("groups")).cast("int")).withColumn("h", h("row"))
     return picked.join(numbered, ["stratum", "g"]).select("stratum", "draw", "country", "town", (F.col("h") % F.col("n")).alias("offset"))
 
 

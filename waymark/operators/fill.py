@@ -57,14 +57,23 @@ def decide(resolved: DataFrame, decisions: DataFrame | None = None) -> DataFrame
     }).drop("resolved", "judge_country", "judge_town", "countries", "towns")
 
 
+def raw_text(decided: DataFrame) -> Column:
+    """What was read, where it is known; else the cleaned line."""
+    return F.col("input" if "input" in decided.columns else "address_line")
+
+
 def cache_rows(decided: DataFrame, least: float = 0.0) -> DataFrame:
     ok = (F.col("action") == "cache") & cacheable(F.col("country"), F.col("town"), F.col("country_confidence"), F.col("town_confidence"), least)
-    return decided.where(ok).select(F.col("address_line").alias("raw_address"), X.normalize_address(F.col("address_line")).alias("normalized_address"), "source", F.col("country").alias("country_code"), "town", "postal_code", "street")
+    raw = raw_text(decided)
+    return decided.where(ok).select(raw.alias("raw_address"), X.normalize_address(raw).alias("normalized_address"), "source", F.col("country").alias("country_code"), "town", "postal_code", "street")
 
 
 def review_rows(decided: DataFrame) -> DataFrame:
-    return decided.where("action = 'review'").select(F.col("address_line").alias("input"), "country", "town", "country_confidence", "town_confidence", F.col("review").alias("reason"))
+    return decided.where("action = 'review'").select(raw_text(decided).alias("input"), "country", "town", "country_confidence", "town_confidence", F.col("review").alias("reason"))
 
 
-def summary(decided: DataFrame) -> DataFrame:
-    return decided.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("action") == "cache").alias("cached"), F.count_if(F.col("action") == "review").alias("review"))
+def summary(decided: DataFrame, least: float = 0.0) -> DataFrame:
+    """Counts of processed, cached, reviewed and skipped rows; what goes to review is what is skipped."""
+    to_cache = (F.col("action") == "cache") & cacheable(F.col("country"), F.col("town"), F.col("country_confidence"), F.col("town_confidence"), least)
+    review = F.count_if(F.col("action") == "review")
+    return decided.agg(F.count(F.lit(1)).alias("processed"), F.count_if(to_cache).alias("cached"), review.alias("review"), review.alias("skipped"))

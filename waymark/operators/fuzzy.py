@@ -8,10 +8,11 @@ d at most. So texts and entries are equi-joined on pieces, windows around each s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..settle import settle
 
 
 def candidates(entries: DataFrame) -> DataFrame:
@@ -31,45 +32,70 @@ def pieces(entries: DataFrame, tolerance: int) -> DataFrame:
     return rows.select("possibility", "size", "d", F.explode(parts).alias("p")).select("possibility", "size", "d", "p.piece", "p.offset")
 
 
+def seeded(texts: DataFrame, entries: DataFrame, tolerance: int, held: list[str] | None = None) -> DataFrame:
+    """(addr_id, text, possibility, d, bases): the places where a window of an entry may begin, a row for each pair of a text and an entry.
+
+    A text's substrings of the lengths that occur are made in one projection; only they are exploded, not the
+    text. The pieces are settled, so their true size decides whether they are sent out or shuffled.
+    """
+    parts = settle(pieces(entries, tolerance), "pieces", held)
+    # the dictionary's few lengths: one row
+    sizes = parts.agg(F.collect_set(F.length("piece")).alias("sizes"))
+    spots = F.transform(F.col("sizes"), lambda n: F.transform(F.sequence(F.lit(0), F.length("text") - n), lambda at: F.struct(at.alias("at"), F.substring(F.col("text"), at + 1, n).alias("piece"))))
+    fitting = F.filter(F.col("sizes"), lambda n: n <= F.length("text"))
+    seeds = texts.select("addr_id", "text").join(F.broadcast(sizes)).withColumn("sizes", fitting).select("addr_id", F.explode(F.flatten(spots)).alias("s")).select("addr_id", "s.at", "s.piece")
+    hits = seeds.join(parts, "piece").groupBy("addr_id", "possibility", "d").agg(F.array_sort(F.collect_set(F.col("at") - F.col("offset"))).alias("bases"))
+    return hits.join(texts.select("addr_id", "text"), "addr_id")
+
+
+def within(text: Column, possibility: Column, d: Column, bases: Column) -> Column:
+    """Sorted structs (dist, start, stop, matched) of all windows within d edits around the bases."""
+    spread = F.sequence(-d, d)
+    places = F.array_distinct(F.flatten(F.transform(bases, lambda b: F.flatten(F.transform(spread, lambda s: F.transform(spread, lambda g: F.struct((b + s).alias("start"), (F.length(possibility) + g).alias("width"))))))))
+    fitting = F.filter(places, lambda p: (p["start"] >= 0) & (p["width"] > 0) & (p["start"] + p["width"] <= F.length(text)))
+    made = F.transform(fitting, lambda p: X.let(X.at(text, p["start"], p["width"]), lambda m: F.struct(F.levenshtein(m, possibility).alias("dist"), p["start"].cast("int").alias("start"), (p["start"] + p["width"]).cast("int").alias("stop"), m.alias("matched"))))
+    return F.array_sort(F.filter(made, lambda w: w["dist"] <= d))
+
+
 def windows(texts: DataFrame, entries: DataFrame, tolerance: int) -> DataFrame:
     """(addr_id, possibility, start, stop, matched, dist) of all windows within the tolerance."""
-    parts = pieces(entries, tolerance)
-    sizes = parts.select(F.length("piece").alias("n")).distinct()
-    # substrings of the lengths that occur: the dictionary's few lengths are a bounded broadcast
-    spots = texts.select("addr_id", "text", F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("at", "one")).drop("one")
-    seeds = spots.join(F.broadcast(sizes), F.col("at") + F.col("n") <= F.length("text")).select("addr_id", "at", F.substring(F.col("text"), F.col("at") + 1, F.col("n")).alias("piece"))
-    hits = seeds.join(parts, "piece")
-    spread = F.sequence(-F.col("d"), F.col("d"))
-    hits = hits.select("addr_id", "possibility", "d", "size", (F.col("at") - F.col("offset")).alias("base"), F.explode(spread).alias("shift"), spread.alias("grow"))
-    hits = hits.select("addr_id", "possibility", "d", (F.col("base") + F.col("shift")).alias("start"), F.explode(F.transform("grow", lambda g: F.col("size") + g)).alias("width")).where("start >= 0 and width > 0").distinct()
-    found = hits.join(texts, "addr_id").where(F.col("start") + F.col("width") <= F.length("text"))
-    found = found.withColumn("matched", X.at(F.col("text"), F.col("start"), F.col("width"))).withColumn("dist", F.levenshtein("matched", "possibility"))
-    return found.where("dist <= d").select("addr_id", "possibility", "start", (F.col("start") + F.col("width")).alias("stop"), "matched", "dist")
-
-
-def gated(found: DataFrame, cutoff: int) -> DataFrame:
-    """Windows of entries whose partial ratio in the text reaches the cutoff: 100 where contained, else the best floor(100 (m - dist) / m), m the longer length."""
-    longer = F.greatest(F.length("possibility"), F.length("matched"))
-    ratio = F.when(F.col("dist") == 0, 100).otherwise(F.floor(100 * (longer - F.col("dist")) / longer))
-    open_ = found.groupBy("addr_id", "possibility").agg(F.max(ratio).alias("ratio")).where(F.col("ratio") >= cutoff).drop("ratio")
-    return found.join(open_, ["addr_id", "possibility"])
-
-
-def greedy(found: DataFrame) -> DataFrame:
-    """Non-overlapping windows of each entry, the least (dist, start, stop) first."""
-    listed = found.groupBy("addr_id", "possibility").agg(F.array_sort(F.collect_list(F.struct("dist", "start", "stop", "matched"))).alias("all"))
-    kind = "array<struct<dist:int,start:int,stop:int,matched:string>>"
-    chosen = F.aggregate("all", F.array().cast(kind), lambda got, w: F.when(F.exists(got, lambda g: (w["start"] < g["stop"]) & (g["start"] < w["stop"])), got).otherwise(F.concat(got, F.array(w))))
-    return listed.select("addr_id", "possibility", F.explode(chosen).alias("w")).select("addr_id", "possibility", "w.dist", "w.start", "w.stop", "w.matched")
+    pairs = seeded(texts, entries, tolerance)
+    found = pairs.select("addr_id", "possibility", F.explode(within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases"))).alias("w"))
+    return found.select("addr_id", "possibility", "w.start", "w.stop", "w.matched", "w.dist")
 
 
-def match_dictionary(texts: DataFrame, entries: DataFrame, *, cutoff: int = 80, tolerance: int = 1) -> DataFrame:
-    """(addr_id, start, stop, matched, possibility, dist, flags, origin): the fuzzy matches of texts (addr_id, text) with entries (possibility, origins)."""
-    entries = candidates(entries)
-    found = windows(texts, entries, tolerance).select("addr_id", "possibility", F.col("start").cast("int"), F.col("stop").cast("int"), "matched", F.col("dist").cast("int"))
-    chosen = greedy(gated(found, cutoff)).join(texts, "addr_id")
+def open_gate(found: Column, possibility: Column, cutoff: int) -> Column:
+    """Whether the partial ratio of an entry in its text reaches the cutoff: 100 where contained, else the best floor(100 (m - dist) / m), m the longer length."""
+
+    def ratio(w: Column) -> Column:
+        longer = F.greatest(F.length(possibility), F.length(w["matched"]))
+        return F.when(w["dist"] == 0, 100).otherwise(F.floor(100 * (longer - w["dist"]) / longer))
+
+    return F.exists(found, lambda w: ratio(w) >= cutoff)
+
+
+def greedy(found: Column) -> Column:
+    """Non-overlapping windows, the least (dist, start, stop) first."""
+    kind = "array<struct<dist:int,start:int,stop:int,matched:string>>"
+    meets = lambda got, w: F.exists(got, lambda g: (w["start"] < g["stop"]) & (g["start"] < w["stop"]))
+    return F.aggregate(found, F.array().cast(kind), lambda got, w: F.when(meets(got, w), got).otherwise(F.concat(got, F.array(w))))
+
+
+def match_dictionaries(texts: DataFrame, entries: DataFrame, *, cutoff: int = 80, tolerance: int = 1, held: list[str] | None = None) -> DataFrame:
+    """(addr_id, kind, start, stop, matched, possibility, dist, flags, origin): the fuzzy matches of texts (addr_id, text) with entries (kind, possibility, origins) of several dictionaries, in one scan."""
+    listed = entries.select("kind", F.upper("possibility").alias("possibility"), F.explode("origins").alias("origin")).where("possibility <> ''")
+    listed = settle(listed.groupBy("possibility", "kind").agg(F.array_sort(F.collect_set("origin")).alias("origins")), "entries", held)
+    pairs = seeded(texts, listed.select("possibility").distinct(), tolerance, held)
+    found = pairs.withColumn("found", within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases")))
+    found = found.where(open_gate(F.col("found"), F.col("possibility"), cutoff))
+    chosen = found.select("addr_id", "text", "possibility", F.explode(greedy(F.col("found"))).alias("w")).select("addr_id", "text", "possibility", "w.*")
     inside = X.inside_word(F.col("text"), F.col("start"), F.col("stop"), F.col("matched"))
     chosen = chosen.withColumn("inside", inside).where((F.length("possibility") > 2) | ~F.col("inside"))
     chosen = chosen.withColumn("dist", X.newline_discount(F.col("matched"), F.col("dist")))
     flags = F.when(F.col("inside"), F.array(F.lit("IS_INSIDE_ANOTHER_WORD"))).otherwise(F.array().cast("array<string>"))
-    return chosen.join(entries, "possibility").select("addr_id", "start", "stop", "matched", "possibility", "dist", flags.alias("flags"), F.explode("origins").alias("origin"))
+    return chosen.join(listed, "possibility").select("addr_id", "kind", "start", "stop", "matched", "possibility", "dist", flags.alias("flags"), F.explode("origins").alias("origin"))
+
+
+def match_dictionary(texts: DataFrame, entries: DataFrame, *, cutoff: int = 80, tolerance: int = 1) -> DataFrame:
+    """The matches with the entries (possibility, origins) of one dictionary."""
+    return match_dictionaries(texts, entries.withColumn("kind", F.lit(0)), cutoff=cutoff, tolerance=tolerance).drop("kind")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import score as K
 from ..functions import text as X
-from . import fuzzy
+from ..settle import settle
+from . import fuzzy, postcode
 from .gazetteer import ReferenceData
 
 MATCH = ["addr_id", "kind", "start", "stop", "matched", "possibility", "dist", "flags", "origin", "crf"]
@@ -107,6 +108,7 @@ def country_flags(countries: DataFrame, addresses: DataFrame, ref: ReferenceData
         domain = F.coalesce(F.exists("domain_extensions", lambda d: (d != "") & F.contains(F.lower("text"), F.lower(d))), never)
         if "predictions" in has:
             postal = F.coalesce(F.exists(F.filter("predictions", lambda p: p["tag"] == "POSTAL_CODE"), lambda p: F.regexp_like(p["text"], F.col("postal_code_regex"))), never)
+            rows = rows.withColumn("postal_code_regex", usable_regex(ref.specs)[F.col("origin")])
     common = F.col("origin").isin(*S.COMMON_PROVINCE_ORIGINS)
     flags = flag_if(
         F.col("flags"),
@@ -125,6 +127,18 @@ def country_flags(countries: DataFrame, addresses: DataFrame, ref: ReferenceData
     return rows.withColumn("flags", F.when(F.col("kind") == 2, F.col("flags")).otherwise(flags)).select(*MATCH)
 
 
+def usable_regex(specs: DataFrame) -> Column:
+    """A map of country to postal-code pattern, of patterns that compile: a bad one matches nothing. A row a country."""
+    found = {}
+    for origin, pattern in specs.select("origin", "postal_code_regex").where("postal_code_regex <> ''").collect():
+        try:
+            specs.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception:  # the JVM's syntax error
+            continue
+        found[origin] = pattern
+    return F.create_map(*[F.lit(x) for pair in found.items() for x in pair]) if found else F.create_map(F.lit(""), F.lit(None).cast("string"))
+
+
 def ranked(matches: DataFrame, codes_first: bool) -> DataFrame:
     """Adds ``rank`` and ``place`` and the flags of inclusion and position; matches need ``length`` of their text."""
     w = W.partitionBy("addr_id")
@@ -186,8 +200,8 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
     hints = addresses.select("addr_id", "suggested", "force")
     forced = F.col("force") & (F.col("suggested") != "")
     cs = countries.join(hints, "addr_id").where(~forced | (F.col("origin") == F.col("suggested"))).drop("suggested", "force")
-    ts = towns.join(hints, "addr_id").withColumn("solo", ~(forced & (F.col("suggested") != S.NO_COUNTRY))).drop("suggested", "force")
-    pick = lambda d, p: d.select("addr_id", "origin", *[F.col(x).alias(f"{p}_{x}") for x in ("start", "stop", "possibility", "score", "place", "flags")], *(["solo"] if p == "t" else []))
+    ts = towns.join(hints, "addr_id").withColumn("solo", ~(forced & (F.col("suggested") != S.NO_COUNTRY))).drop("force")
+    pick = lambda d, p: d.select("addr_id", "origin", *[F.col(x).alias(f"{p}_{x}") for x in ("start", "stop", "possibility", "score", "place", "flags")], *(["solo", "suggested"] if p == "t" else []))
     c, t = pick(cs, "c"), pick(ts, "t")
     pairs = c.join(t, ["addr_id", "origin"])
     if same_name is not None:
@@ -199,15 +213,17 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
     skip = F.when(same, ~F.coalesce(F.col("named") == F.col("origin"), F.lit(False))).otherwise(holds("c", "t") | holds("t", "c"))
     row = lambda d, phase, country, cp, town, to, sc, st, score, i, j: d.select("addr_id", country.alias("country"), cp.alias("country_possibility"), town.alias("town"), to.alias("town_origin"), sc.alias("country_score"), st.alias("town_score"), score.alias("score"), F.lit(phase).alias("phase"), i.alias("i"), j.alias("j"))
     zero, none_c, none_t = F.lit(0), F.lit(S.NO_COUNTRY), F.lit(S.NO_TOWN)
-    least_c, least_t = F.lit(S.LIMITS.country_least), F.lit(S.LIMITS.town_least)
+    # the hint that there is no country raises the placeholder's own score, not the pair's
+    least_c = F.when(F.col("suggested") == S.NO_COUNTRY, S.LIMITS.suggested_score).otherwise(S.LIMITS.country_least)
+    least_t = F.lit(S.LIMITS.town_least)
     found = [
         row(pairs.where(~skip), 0, F.col("origin"), F.col("c_possibility"), F.col("t_possibility"), F.col("origin"), F.col("c_score"), F.col("t_score"), (F.col("c_score") + F.col("t_score")) / 2, F.col("c_place"), F.col("t_place")),
         row(c, 1, F.col("origin"), F.col("c_possibility"), none_t, F.lit(""), F.col("c_score"), least_t, K.solo_country(F.col("c_score"), F.col("c_flags")), F.col("c_place"), zero),
         row(t.where("solo"), 2, none_c, F.lit(""), F.col("t_possibility"), F.col("origin"), least_c, F.col("t_score"), K.solo_town(F.col("t_score"), F.col("t_flags")), zero, F.col("t_place")),
     ]
     rows = reduce(DataFrame.unionByName, found)
-    nothing = addresses.select("addr_id").join(rows.select("addr_id").distinct(), "addr_id", "left_anti")
-    rows = rows.unionByName(row(nothing, 3, none_c, F.lit(""), none_t, F.lit(""), least_c, least_t, (least_c + least_t) / 2, zero, zero))
+    nothing = addresses.select("addr_id", "suggested").join(rows.select("addr_id").distinct(), "addr_id", "left_anti")
+    rows = rows.unionByName(row(nothing, 3, none_c, F.lit(""), none_t, F.lit(""), least_c, least_t, F.lit((S.LIMITS.country_least + S.LIMITS.town_least) / 2), zero, zero))
     order = [F.desc("score"), "phase", "i", "j"]
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("addr_id", "country", F.replace("town", F.lit("-"), F.lit(" "))).orderBy(*order))).where("nth = 1").drop("nth")
     return rows.withColumn("number", F.row_number().over(W.partitionBy("addr_id").orderBy(*order)))
@@ -228,7 +244,8 @@ def structured(combos: DataFrame, addresses: DataFrame) -> DataFrame:
     else:
         postal = street = F.lit("")
     pick = lambda c, ok, empty: F.when(F.coalesce(ok, F.lit(False)), F.col(c)).otherwise(F.lit(empty)).alias(c)
-    return out.select("addr_id", F.col("text").alias("address_line"), pick("country", F.col("has_c"), ""), pick("town", F.col("has_t"), ""), postal.alias("postal_code"), street.alias("street"), pick("country_confidence", F.col("has_c"), 0.0), pick("town_confidence", F.col("has_t"), 0.0))
+    raw = ["input"] if "input" in addresses.columns else []
+    return out.select("addr_id", *raw, F.col("text").alias("address_line"), pick("country", F.col("has_c"), ""), pick("town", F.col("has_t"), ""), postal.alias("postal_code"), street.alias("street"), pick("country_confidence", F.col("has_c"), 0.0), pick("town_confidence", F.col("has_t"), 0.0))
 
 
 def n_best(combos: DataFrame, n: int = 2) -> DataFrame:
@@ -239,36 +256,48 @@ def n_best(combos: DataFrame, n: int = 2) -> DataFrame:
     return combos.groupBy("addr_id").agg(*aggs)
 
 
-def match_all(addresses: DataFrame, ref: ReferenceData, *, probabilities: DataFrame | None = None, crf: float = 0.5, limits: S.Limits = S.LIMITS, postcodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scored countries and towns of clean addresses (addr_id, text, suggested, force, ...)."""
+def match_all(addresses: DataFrame, ref: ReferenceData, *, probabilities: DataFrame | None = None, crf: float = 0.5, limits: S.Limits = S.LIMITS, postcodes: DataFrame | None = None, held: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scored countries and towns of clean addresses (addr_id, text, suggested, force, ...).
+
+    Lists that several later steps read are settled; their paths are added to ``held``.
+    """
+    keep = lambda df, name: settle(df, name, held)
     texts = addresses.select("addr_id", "text")
-    look = lambda entries, kind: fuzzy.match_dictionary(texts, entries, cutoff=limits.cutoff, tolerance=limits.tolerance).withColumn("kind", F.lit(kind))
-    countries = scored_by_crf(look(ref.countries, 0).unionByName(look(ref.codes, 1)), probabilities, "COUNTRY", crf)
+    # one scan for all dictionaries: countries 0, codes 1, towns 2, extended towns 3
+    listed = [ref.countries, ref.codes, ref.towns] + ([ref.extended_towns] if ref.extended_towns is not None else [])
+    entries = reduce(DataFrame.unionByName, [d.select("possibility", "origins", F.lit(k).alias("kind")) for k, d in enumerate(listed)])
+    found = keep(fuzzy.match_dictionaries(texts, entries, cutoff=limits.cutoff, tolerance=limits.tolerance, held=held), "matches")
+    countries = scored_by_crf(found.where("kind < 2"), probabilities, "COUNTRY", crf)
     countries = suggested(countries, addresses, limits.suggested_score)
     head = F.col("head.country") if "head" in addresses.columns else F.lit("")
     countries = countries.join(addresses.select("addr_id", head.alias("__head")), "addr_id").where((F.col("kind") != 1) | (F.col("crf") > 0) | (F.col("origin") == F.col("__head"))).drop("__head")
-    towns = look(ref.towns, 0)
-    if ref.extended_towns is not None:
-        towns = towns.unionByName(look(ref.extended_towns, 1))
-    towns = scored_by_crf(towns, probabilities, "TOWN", crf)
+    towns = scored_by_crf(found.where("kind >= 2").withColumn("kind", F.col("kind") - 2), probabilities, "TOWN", crf)
     length = addresses.select("addr_id", F.length("text").alias("length"))
-    # lists that several later steps read are kept, not computed again for each
-    towns = ranked(town_flags(towns, addresses, ref.town_index).join(length, "addr_id"), False).persist()
-    countries = ranked(country_flags(countries, addresses, ref).join(length, "addr_id"), True).persist()
+    towns = keep(ranked(town_flags(towns, addresses, ref.town_index).join(length, "addr_id"), False), "towns")
+    countries = keep(ranked(country_flags(countries, addresses, ref).join(length, "addr_id"), True), "countries")
     towns, countries = relationships(towns, countries, addresses)
     if postcodes is not None:
         towns = postcode_flags(towns, postcodes)
-    towns = towns.withColumn("score", K.match_score("town", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.town_least).persist()
-    countries = countries.withColumn("score", K.match_score("country", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.country_least).persist()
+    towns = keep(towns.withColumn("score", K.match_score("town", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.town_least), "scored-towns")
+    countries = keep(countries.withColumn("score", K.match_score("country", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.country_least), "scored-countries")
     return countries, towns
 
 
 def resolve(addresses: DataFrame, ref: ReferenceData, **options) -> DataFrame:
-    """Raw addresses (addr_id, text, and optionally suggested, force, spans, head, predictions) to structured rows with quality."""
+    """Raw addresses (addr_id, text, and optionally suggested, force, spans, head, predictions) to structured rows with quality.
+
+    ``input`` is the raw text, ``address_line`` the cleaned one. Postal codes are looked up where the reference
+    data have them. ``settle.release`` removes the settled tables behind the rows.
+    """
     for name, value in (("suggested", ""), ("force", False)):
         if name not in addresses.columns:
             addresses = addresses.withColumn(name, F.lit(value))
-    ready = clean_addresses(addresses)
-    countries, towns = match_all(ready, ref, **options)
+    held: list[str] = []
+    ready = settle(clean_addresses(addresses.withColumn("input", F.coalesce(F.col("text"), F.lit("")))), "addresses", held)
+    if ref.postcodes is not None:
+        options.setdefault("postcodes", postcode.match_postcodes(ready, ref.postcodes))
+    countries, towns = match_all(ready, ref, held=held, **options)
     rows = structured(combinations(countries, towns, ready, ref.same_name), ready)
-    return rows.withColumn("quality", K.quality(F.col("country"), F.col("town"), F.col("country_confidence"), F.col("town_confidence"))).select("*", "quality.*").drop("quality")
+    rows = rows.withColumn("quality", K.quality(F.col("country"), F.col("town"), F.col("country_confidence"), F.col("town_confidence"))).select("*", "quality.*").drop("quality")
+    rows.held = held
+    return rows

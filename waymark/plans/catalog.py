@@ -60,12 +60,13 @@ def alias_expand(s, d):
     return names.select("name", F.explode(X.aliases(F.col("name"))).alias("alias"))
 
 
-_PAIRS = "with n as (select distinct upper(p_name) as p from part) select a.p as left_name, b.p as right_name, round({0}, 6) as value from n a join n b on a.p < b.p"
+_PAIRS = "with n as (select distinct upper(p_name) as p from part) select a.p as left_name, b.p as right_name, round({0}, 6) as value from n a join n b on a.p < b.p and split_part(a.p, ' ', 1) = split_part(b.p, ' ', 1)"
 
 
 def _name_pairs(s, d):
-    n = table(s, d, "part").select(F.upper("p_name").alias("p")).distinct()
-    return n.alias("a").join(n.alias("b"), F.col("a.p") < F.col("b.p")).select(F.col("a.p").alias("left_name"), F.col("b.p").alias("right_name"))
+    # names that share their first word: an equi-join, not all pairs
+    n = table(s, d, "part").select(F.upper("p_name").alias("p")).distinct().withColumn("w", F.split_part("p", F.lit(" "), F.lit(1)))
+    return n.alias("a").join(n.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.p") < F.col("b.p"))).select(F.col("a.p").alias("left_name"), F.col("b.p").alias("right_name"))
 
 
 @query(_PAIRS.format(X.lexical_identity_sql("a.p", "b.p")))
@@ -356,7 +357,7 @@ def fill_decision(s, d):
     return L.decide(_assessed(s, d)).select("doc_id", "action", "source", "review")
 
 
-@query(f"with {_QUALITY} select count(*) as processed, count(*) filter (band = 'high') as cached, count(*) filter (band <> 'high') as review from assessed")
+@query(f"with {_QUALITY} select count(*) as processed, count(*) filter (band = 'high') as cached, count(*) filter (band <> 'high') as review, count(*) filter (band <> 'high') as skipped from assessed")
 def fill_summary(s, d):
     return L.summary(L.decide(_assessed(s, d)))
 
@@ -419,7 +420,7 @@ def cache_upsert(s, d):
 
 _LABELLED = "lab as (select o_orderkey as id, 'address ' || o_orderkey as address, 'Town ' || o_orderpriority as town, 'c' || c_nationkey as country from orders join customer on o_custkey = c_custkey)"
 _GROUPS = f"{_LABELLED}, g as (select country, town, count(*) as n, upper(country) || ':' || case when count(*) >= 1000 then 'common' when count(*) >= 100 then 'medium' else 'rare' end as stratum from lab group by country, town)"
-_PLAN = f"{_GROUPS}, st as (select stratum, count(*) as groups, row_number() over (order by stratum) as nth, count(*) over () as k from g group by stratum), al as (select stratum, groups, 100 // k + case when nth <= 100 % k then 1 else 0 end as draws from st), dr as (select stratum, groups, unnest(range(1, draws + 1)) as draw from al), pk as (select *, (draw * 7919 + 42 * 104729) % 1000003 as h from dr), nb as (select *, row_number() over (partition by stratum order by country, town) - 1 as gi from g), plan as (select pk.stratum, draw, nb.country, nb.town, h % n as off from pk join nb on pk.stratum = nb.stratum and h % groups = gi)"
+_PLAN = f"{_GROUPS}, st as (select stratum, count(*) as groups, row_number() over (order by stratum) as nth, count(*) over () as k from g group by stratum), al as (select stratum, groups, 100 // k + case when nth <= 100 % k then 1 else 0 end as draws from st), dr as (select stratum, groups, unnest(range(1, draws + 1)) as draw from al), pk as (select *, ('0x' || substring(md5('42/group/' || stratum || '/' || draw), 1, 12))::bigint as hg, ('0x' || substring(md5('42/row/' || stratum || '/' || draw), 1, 12))::bigint as h from dr), nb as (select *, row_number() over (partition by stratum order by country, town) - 1 as gi from g), plan as (select pk.stratum, draw, nb.country, nb.town, h % n as off from pk join nb on pk.stratum = nb.stratum and hg % groups = gi)"
 
 
 def _labelled(s, d):

@@ -34,10 +34,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", column: str =
     return raw.where(F.col(f"`{column}`").isNotNull() & (F.col(f"`{column}`") != "")).select(F.col(f"`{column}`").alias("text"), hint.alias("suggested"), (hint != "").alias("has_suggested"), X.is_true(get("force_suggested_country")).alias("force"))
 
 
-def property_text(properties: Column, parsed: Column, key: str) -> Column:
-    """A property of a JSON object by name, whatever its case: strings and numbers as trimmed text, others empty."""
-    name = F.get(F.array_sort(F.filter(F.json_object_keys(properties), lambda k: F.lower(k) == key)), F.lit(0))
-    value = F.try_variant_get(parsed, F.concat(F.lit("$['"), name, F.lit("']")), "variant")
+def property_text(properties: Column, names: Column, key: str) -> Column:
+    """A property of a map to variants by name, whatever its case (``names`` are the sorted keys): strings and numbers as trimmed text, others empty."""
+    value = F.try_element_at(properties, F.get(F.filter(names, lambda k: F.lower(k) == key), F.lit(0)))
     kind = F.schema_of_variant(value)
     return F.when(kind.isin("BOOLEAN", "VOID") | F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.lit("")).otherwise(F.coalesce(F.trim(value.cast("string")), F.lit("")))
 
@@ -54,15 +53,23 @@ def feature_text(number, street, unit, postcode, city, district, region) -> Colu
 KEYS = ("number", "street", "unit", "postcode", "city", "district", "region")
 
 
+#: What is read of a feature; ``__broken`` is set where a line is no JSON.
+FEATURE = "properties map<string,variant>, __broken string"
+#: The longest line that is read, in bytes.
+LINE_BYTES = 10 << 20
+
+
 def features(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``text`` to GeoJSON lines; broken JSON is an error, blank lines and features without text go."""
+    """Adds ``text`` to GeoJSON lines; broken JSON and overlong lines are errors (with the line's number where there is a column ``line``), blank lines and features without text go. Each line is parsed once."""
     rows = lines.where(F.trim(value) != "")
-    good = F.try_parse_json(F.col(value)).isNotNull()
-    checked = rows.withColumn("__line", F.when(good, F.col(value)).otherwise(F.raise_error(F.concat(F.lit("bad JSON: "), F.substring(F.col(value), 1, 80))).cast("string")))
-    # properties as columns of their own, each computed once
-    out = checked.withColumn("__props", F.get_json_object("__line", "$.properties")).withColumn("__parsed", F.try_parse_json("__props"))
-    out = out.withColumns({f"__{k}": property_text(F.col("__props"), F.col("__parsed"), k) for k in KEYS})
-    return out.withColumn("text", feature_text(*[F.col(f"__{k}") for k in KEYS])).drop("__line", "__props", "__parsed", *[f"__{k}" for k in KEYS]).where("text <> ''")
+    where = F.concat(F.lit("line "), F.col("line"), F.lit(": ")) if "line" in lines.columns else F.lit("")
+    fail = lambda what: F.raise_error(F.concat(where, F.lit(what), F.substring(F.col(value), 1, 80))).cast("string")
+    text = F.when(F.octet_length(value) <= LINE_BYTES, F.col(value)).otherwise(fail("line is too long: "))
+    out = rows.withColumn("__f", F.from_json(text, FEATURE, {"columnNameOfCorruptRecord": "__broken"}))
+    props = F.when(F.col("__f.__broken").isNull(), F.col("__f.properties")).otherwise(F.from_json(fail("bad JSON: "), "map<string,variant>"))
+    out = out.withColumn("__props", props).withColumn("__names", F.array_sort(F.map_keys("__props")))
+    out = out.withColumns({f"__{k}": property_text(F.col("__props"), F.col("__names"), k) for k in KEYS})
+    return out.withColumn("text", feature_text(*[F.col(f"__{k}") for k in KEYS])).drop("__f", "__props", "__names", *[f"__{k}" for k in KEYS]).where("text <> ''")
 
 
 def read_geojson(spark: SparkSession, path: str, country: str = "", most: int = 0) -> DataFrame:

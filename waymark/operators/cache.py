@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import score as K
 from ..functions import text as X
-from .seqmodel import cosine
+from ..settle import settle
 
 
 def trusted(source: Column, limits: S.Limits = S.LIMITS) -> Column:
@@ -24,17 +26,50 @@ def exact_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select(F.col("normalized_address").alias("key"), F.struct(*cache.columns).alias("hit")), "key", "left")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = S.LIMITS.neighbours) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = S.LIMITS.neighbours, *, block: int = 2048) -> DataFrame:
     """(query_id, entry_id, similarity, rank): exact cosine neighbours, ties by entry_id; k <= 0 means the default.
 
-    The vector search is exact, as the data model's is: every query meets every entry, in Catalyst's
-    nested-loop join with the smaller side sent out, and a limit per group runs before the shuffle.
+    The vector search is exact, as the data model's is. Queries are a stated set or a request's misses; they are
+    dealt into blocks of at most ``block`` rows, each a row of its own that meets every partition of entries, where
+    a matrix product and a partial choice leave k rows a query and batch. So neither side is sent out whole.
     """
     k = k if k > 0 else S.LIMITS.neighbours
-    pairs = queries.select("query_id", F.col("embedding").alias("__q")).crossJoin(vectors.select("entry_id", "embedding"))
-    scored = pairs.select("query_id", "entry_id", cosine(F.col("__q"), F.col("embedding")).alias("similarity"))
+    n = max(1, -(-queries.count() // block))
+    ids = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["entry_id"]
+    numbered = queries.where("embedding is not null").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+    found = None
+    for part in range(n):
+        rows = numbered.where(F.col("part") == part).select("query_id", "embedding").toArrow()  # a block, bounded
+        if not rows.num_rows:
+            continue
+        got = vectors.where("embedding is not null").select("entry_id", "embedding").mapInArrow(_neighbours(rows, k), f"query_id {ids[0]}, entry_id {ids[1]}, similarity double")
+        found = got if found is None else found.union(got)
+    if found is None:
+        found = queries.select("query_id").join(vectors.select("entry_id"), F.lit(False)).withColumn("similarity", F.lit(0.0))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _neighbours(queries: pa.Table, k: int):
+    def matrix(column) -> np.ndarray:
+        flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(flat), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = queries.column("query_id").combine_chunks()
+        q = matrix(queries.column("embedding"))
+        length = np.sqrt((q * q).sum(1))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            e = matrix(b.column(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = (q @ e.T) / np.sqrt(np.outer(length * length, (e * e).sum(1)))
+            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")), near.shape), -near), axis=1)[:, :k]
+            take = pa.array(order.ravel())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(q)), order.shape[1]))), b.column(0).take(take), pa.array(np.take_along_axis(near, order, 1).ravel())], names=["query_id", "entry_id", "similarity"])
+
+    return run
 
 
 def gate(candidates: DataFrame, limits: S.Limits = S.LIMITS) -> DataFrame:
@@ -76,51 +111,81 @@ def upsert(cache: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*out)
 
 
-def stage1(requests: DataFrame, cache: DataFrame | None, embed: Callable[[DataFrame], DataFrame] | None, limits: S.Limits = S.LIMITS) -> DataFrame:
-    """item, text, key, served, structured, cache_source, semantic, lexical, reason of requests (item, text).
+STAGE1 = ("item", "text", "key", "served", "structured", "cache_source", "semantic", "lexical", "reason", "embedding")
+
+
+def stage1(requests: DataFrame, cache: DataFrame | None, embed: Callable[[DataFrame], DataFrame] | None, limits: S.Limits = S.LIMITS, held: list[str] | None = None) -> DataFrame:
+    """item, text, key, served, structured, cache_source, semantic, lexical, reason and embedding of requests (item, text).
 
-    Without a cache all miss as stage1_unconfigured. Exact trusted hits are served without an embedding;
-    the others go on to neighbours if there is an embedder ((item, key) to (item, embedding)).
+    A blank address fails the request. Without a cache all miss as stage1_unconfigured. Exact trusted hits are
+    served without an embedding; the others go on to neighbours if there is an embedder ((item, key) to
+    (item, embedding)): without an embedding they miss as embedding_error, without neighbours as cache_miss. A
+    cache whose rows can't be read fails the lookups as cache_error: ``cache`` may have a column ``failed``.
     """
-    rows = requests.select("item", "text", X.normalize_address(F.col("text")).alias("key"))
-    none = F.lit(None)
-    blank = lambda d, reason, lexical=none: d.select("item", "text", "key", F.lit(False).alias("served"), none.cast(cache.schema["structured"].dataType if cache is not None else "string").alias("structured"), none.cast("string").alias("cache_source"), none.cast("double").alias("semantic"), lexical.cast("double").alias("lexical"), reason.alias("reason"))
+    key = X.normalize_address(F.col("text"))
+    rows = requests.select("item", "text", F.when(key != "", key).otherwise(F.raise_error(F.concat(F.lit("text is required: item "), F.col("item").cast("string"))).cast("string")).alias("key"))
+    none, text = F.lit(None), F.lit(None).cast("string")
+    structure = cache.schema["structured"].dataType if cache is not None else "string"
+    number, vector = none.cast("double"), none.cast("array<double>")
+
+    def state(df: DataFrame, served: bool, structured: Column, source: Column, semantic: Column, lexical: Column, reason: Column, embedding: Column) -> DataFrame:
+        return df.select("item", "text", "key", F.lit(served).alias("served"), structured.alias("structured"), source.alias("cache_source"), semantic.alias("semantic"), lexical.alias("lexical"), reason.alias("reason"), embedding.alias("embedding"))
+
+    def missed(df: DataFrame, reason: Column, lexical: Column = number, embedding: Column = vector) -> DataFrame:
+        return state(df, False, none.cast(structure), text, number, lexical, reason, embedding)
+
     if cache is None:
-        return blank(rows, F.lit("stage1_unconfigured"))
+        return missed(rows, F.lit("stage1_unconfigured"))
     looked = exact_lookup(rows, cache)
-    hit = trusted(F.col("hit.source"), limits)
-    done = looked.where(hit).select("item", "text", "key", F.lit(True).alias("served"), F.col("hit.structured").alias("structured"), F.col("hit.source").alias("cache_source"), none.cast("double").alias("semantic"), F.lit(1.0).alias("lexical"), none.cast("string").alias("reason"))
-    rest = looked.where(~hit).select("item", "text", "key", F.when(F.col("hit").isNotNull(), "untrusted_cache_source").otherwise("cache_miss").alias("reason"), F.when(F.col("hit").isNotNull(), 1.0).alias("lexical"))
+    failed = F.coalesce(F.col("hit.failed"), F.lit(False)) if "failed" in cache.columns else F.lit(False)
+    hit = trusted(F.col("hit.source"), limits) & ~failed
+    done = state(looked.where(hit), True, F.col("hit.structured"), F.col("hit.source"), number, F.lit(1.0), text, vector)
+    broken = missed(looked.where(failed), F.lit("cache_error"))
+    exact = F.col("hit").isNotNull()
+    rest = looked.where(~hit & ~failed).select("item", "text", "key", F.when(exact, "untrusted_cache_source").otherwise("cache_miss").alias("reason"), F.when(exact, 1.0).alias("lexical"))
+    done = done.unionByName(broken)
     if embed is None:
-        return done.unionByName(blank(rest, F.col("reason"), F.col("lexical")))
-    found = nearest(embed(rest.select("item", "key")).select(F.col("item").alias("query_id"), "embedding"), cache.select(F.col("normalized_address").alias("entry_id"), "embedding"), limits.neighbours)
+        return done.unionByName(missed(rest, F.col("reason"), F.col("lexical")))
+    # the embedding is made once; later steps and the write-back read it
+    rest = settle(rest.join(embed(rest.select("item", "key")).select("item", F.col("embedding").cast("array<double>").alias("embedding")), "item", "left"), "embedded", held)
+    unknown = missed(rest.where("embedding is null"), F.lit("embedding_error"))
+    known = rest.where("embedding is not null")
+    found = nearest(known.select(F.col("item").alias("query_id"), "embedding"), cache.select(F.col("normalized_address").alias("entry_id"), "embedding"), limits.neighbours)
     entries = cache.select(F.col("normalized_address").alias("entry_id"), "source", "structured")
-    full = found.withColumnRenamed("query_id", "item").join(entries, "entry_id").join(rest.select("item", "key"), "item")
+    full = found.withColumnRenamed("query_id", "item").join(entries, "entry_id").join(known.select("item", "key"), "item")
     judged = full.select("item", "rank", F.col("similarity").alias("semantic"), X.lexical_identity(F.col("key"), F.col("entry_id")).alias("lexical"), "source", "structured")
-    verdict = gate(judged, limits)
-    served = verdict.join(judged.select("item", "rank", "structured"), ["item", "rank"])
-    out = rest.join(served.withColumnsRenamed({"reason": "why", "lexical": "near"}), "item", "left")
+    served = gate(judged, limits).join(judged.select("item", "rank", "structured"), ["item", "rank"])
+    out = known.join(served.withColumnsRenamed({"reason": "why", "lexical": "near"}), "item", "left")
     ok = F.coalesce(F.col("served"), F.lit(False))
-    return done.unionByName(out.select("item", "text", "key", ok.alias("served"), F.when(ok, F.col("structured")).alias("structured"), F.when(ok, F.col("source")).alias("cache_source"), "semantic", F.coalesce("near", "lexical").alias("lexical"), F.when(~ok, F.coalesce("why", "reason")).alias("reason")))
+    seen = F.col("served").isNotNull()
+    more = out.select("item", "text", "key", ok.alias("served"), F.when(ok, F.col("structured")).alias("structured"), F.when(ok, F.col("source")).alias("cache_source"), "semantic", F.when(seen, F.col("near")).alias("lexical"), F.when(~ok, F.when(seen, F.col("why")).otherwise("cache_miss")).alias("reason"), "embedding")
+    return done.unionByName(unknown).unionByName(more)
 
 
 def convert(requests: DataFrame, cache: DataFrame | None, resolver: Callable[[DataFrame], DataFrame], embed=None, limits: S.Limits = S.LIMITS) -> tuple[DataFrame, DataFrame]:
     """(items, upserts): stage 1, then the resolver on the misses alone, both with quality; misses with an embedding are written back as crf_pipeline.
 
-    resolver: (addr_id, text) to rows with addr_id, country, town, postal_code, street and confidences.
+    resolver: (addr_id, text) to rows with addr_id, country, town, postal_code, street and confidences. Stage 1 and
+    the resolver run once: their rows are settled, ``settle.release(items)`` removes them.
     """
     parts = ("address_line", "country", "town", "postal_code", "street", "country_confidence", "town_confidence")
-    first = stage1(requests, cache, embed, limits)
+    held: list[str] = []
+    first = settle(stage1(requests, cache, embed, limits, held), "stage1", held)
     misses = first.where(~F.col("served"))
-    made = resolver(misses.select(F.col("item").alias("addr_id"), "text")).select(F.col("addr_id").alias("item"), F.struct(*parts).alias("made"))
-    named = lambda d, s, by, src: d.select("item", F.col("text").alias("input"), s.alias("structured"), F.lit(by).alias("served_by"), src.alias("cache_source"), F.col("semantic").alias("semantic_score"), F.col("lexical").alias("lexical_score"), F.col("reason").alias("fallback_reason"))
-    second = misses.drop("structured").join(made, "item")
-    items = named(second, F.col("made"), "stage2_pipeline", F.lit(None).cast("string"))
+    made = resolver(misses.select(F.col("item").alias("addr_id"), "text"))
+    held += getattr(made, "held", [])
+    second = settle(misses.drop("structured", "cache_source").join(made.select(F.col("addr_id").alias("item"), F.struct(*parts).alias("structured")), "item"), "stage2", held)
+    second = second.withColumn("cache_source", F.lit("crf_pipeline"))
+
+    def named(df: DataFrame, by: str) -> DataFrame:
+        return df.select("item", F.col("text").alias("input"), "structured", F.lit(by).alias("served_by"), "cache_source", F.col("semantic").alias("semantic_score"), F.col("lexical").alias("lexical_score"), F.col("reason").alias("fallback_reason"))
+
+    items = named(second, "stage2_pipeline")
     if cache is not None:
-        items = items.unionByName(named(first.where("served"), F.col("structured"), "stage1_cache", F.col("cache_source")))
+        items = items.unionByName(named(first.where("served"), "stage1_cache"))
     q = K.quality(F.col("structured.country"), F.col("structured.town"), F.col("structured.country_confidence"), F.col("structured.town_confidence"))
     items = items.withColumn("q", q).withColumns({"resolution_status": F.col("q.status"), "confidence_band": F.col("q.band")}).drop("q")
-    upserts = second.where(F.assert_true(F.col("key") != "", "blank address").isNull()).select(F.col("item").alias("ord"), F.col("text").alias("raw_address"), F.col("key").alias("normalized_address"), F.lit("crf_pipeline").alias("source"), F.col("made").alias("structured"), F.col("made.country").alias("country_code"), "made.town", "made.postal_code", "made.street")
-    if embed is not None:
-        upserts = upserts.join(embed(upserts.select(F.col("ord").alias("item"), F.col("normalized_address").alias("key"))).select(F.col("item").alias("ord"), "embedding"), "ord")
+    kept = second.where("embedding is not null") if cache is not None else second.where("false")
+    upserts = kept.select(F.col("item").alias("ord"), F.col("text").alias("raw_address"), F.col("key").alias("normalized_address"), F.col("cache_source").alias("source"), "structured", F.col("structured.country").alias("country_code"), "structured.town", "structured.postal_code", "structured.street", "embedding")
+    items.held = held
     return items, upserts

@@ -43,8 +43,8 @@ def decide(resolved: DataFrame, decisions: DataFrame | None = None) -> DataFrame
         return resolved.withColumns({"action": F.when(high, "cache").otherwise("review"), "source": F.when(high, "crf_pipeline"), "review": F.when(~high, why)})
     rows = resolved.join(decisions, "addr_id", "left")
     ok = valid_decision(F.col("resolved"), F.col("judge_country"), F.col("judge_town"), F.col("countries"), F.col("towns"))
-    score_c = F.get(F.filter("countries", lambda x: F.upper(x["code"]) == F.upper("judge_country")), F.lit(0))["score"]
-    score_t = F.get(F.filter("towns", lambda x: (F.upper(x["name"]) == F.upper("judge_town")) & (F.upper(x["country_code"]) == F.upper("judge_country"))), F.lit(0))["score"]
+    score_c = F.get(F.filter("countries", lambda x: F.upper(F.trim(x["code"])) == F.upper(F.trim("judge_country"))), F.lit(0))["score"]
+    score_t = F.get(F.filter("towns", lambda x: (F.upper(F.trim(x["name"])) == F.upper(F.trim("judge_town"))) & (F.upper(F.trim(x["country_code"])) == F.upper(F.trim("judge_country")))), F.lit(0))["score"]
     use = ~high & ok
     return rows.withColumns({
         "action": F.when(high | ok, "cache").otherwise("review"),

@@ -201,7 +201,8 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
     forced = F.col("force") & (F.col("suggested") != "")
     cs = countries.join(hints, "addr_id").where(~forced | (F.col("origin") == F.col("suggested"))).drop("suggested", "force")
     ts = towns.join(hints, "addr_id").withColumn("solo", ~(forced & (F.col("suggested") != S.NO_COUNTRY))).drop("force")
-    pick = lambda d, p: d.select("addr_id", "origin", *[F.col(x).alias(f"{p}_{x}") for x in ("start", "stop", "possibility", "score", "place", "flags")], *(["solo", "suggested"] if p == "t" else []))
+    matched = lambda d: F.col("matched") if "matched" in d.columns else F.col("possibility")
+    pick = lambda d, p: d.select("addr_id", "origin", matched(d).alias(f"{p}_matched"), *[F.col(x).alias(f"{p}_{x}") for x in ("start", "stop", "possibility", "score", "place", "flags")], *(["solo", "suggested"] if p == "t" else []))
     c, t = pick(cs, "c"), pick(ts, "t")
     pairs = c.join(t, ["addr_id", "origin"])
     if same_name is not None:
@@ -211,7 +212,8 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
     same = (F.col("c_start") == F.col("t_start")) & (F.col("c_stop") == F.col("t_stop"))
     holds = lambda a, b: ((F.col(f"{b}_start") > F.col(f"{a}_start")) & (F.col(f"{b}_stop") <= F.col(f"{a}_stop"))) | ((F.col(f"{b}_start") >= F.col(f"{a}_start")) & (F.col(f"{b}_stop") < F.col(f"{a}_stop")))
     skip = F.when(same, ~F.coalesce(F.col("named") == F.col("origin"), F.lit(False))).otherwise(holds("c", "t") | holds("t", "c"))
-    row = lambda d, phase, country, cp, town, to, sc, st, score, i, j: d.select("addr_id", country.alias("country"), cp.alias("country_possibility"), town.alias("town"), to.alias("town_origin"), sc.alias("country_score"), st.alias("town_score"), score.alias("score"), F.lit(phase).alias("phase"), i.alias("i"), j.alias("j"))
+    empty = F.lit("")
+    row = lambda d, phase, country, cp, town, to, sc, st, score, i, j: d.select("addr_id", (F.col("c_matched") if "c_matched" in d.columns else empty).alias("country_matched"), (F.col("t_matched") if "t_matched" in d.columns else empty).alias("town_matched"), country.alias("country"), cp.alias("country_possibility"), town.alias("town"), to.alias("town_origin"), sc.alias("country_score"), st.alias("town_score"), score.alias("score"), F.lit(phase).alias("phase"), i.alias("i"), j.alias("j"))
     zero, none_c, none_t = F.lit(0), F.lit(S.NO_COUNTRY), F.lit(S.NO_TOWN)
     # the hint that there is no country raises the placeholder's own score, not the pair's
     least_c = F.when(F.col("suggested") == S.NO_COUNTRY, S.LIMITS.suggested_score).otherwise(S.LIMITS.country_least)

@@ -227,16 +227,6 @@ def bio_spans_strict(s, d):
     return _bio(s, d, True)
 
 
-@query()
-def crf_decode(s, d):
-    """Paths and the marginals of each position's tag; tests hold them against all paths."""
-    rows = table(s, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.slice("embedding", i * 4 + 1, 4), lambda v: v.cast("double") * 5)).alias("emissions"))
-    crf = seqmodel.Crf([0.1, 0.0, -0.1, 0.2], [0.0, 0.1, 0.0, -0.2], [[0.5, 0.1, -0.3, 0.0], [0.0, 0.4, 0.2, -0.5], [-0.1, 0.3, 0.6, 0.0], [0.2, -0.2, 0.1, 0.3]])
-    got = seqmodel.crf_apply(rows, crf)
-    best = F.zip_with("marginals", "path", lambda m, t: F.round(F.get(m, t), 6))
-    return got.select("vec_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), best.alias("confidence"))
-
-
 # ---------------------------------------------------------------- scores, flags, combinations
 
 _FLAGS = {"town": ("IS_SHORT", "IS_SMALL_TOWN", "COUNTRY_IS_PRESENT", "IS_INSIDE_ANOTHER_WORD", "IS_SEPARATOR_TYPO", "IS_ALONE_ON_LINE", "POSTCODE_FOR_TOWN_FOUND"), "country": ("IS_SHORT", "MLP_AGREES", "TOWN_IS_PRESENT", "IS_INSIDE_ANOTHER_WORD", "IS_SEPARATOR_TYPO", "IBAN_IS_PRESENT", "GENERATED_BY_SUGGESTED_COUNTRY")}
@@ -490,3 +480,6 @@ def review_rows(s, d):
     got = resolve.resolve(_addresses(s, d), _reference(s, d))
     rows = L.review_rows(L.decide(got))
     return rows.withColumns({k: F.round(k, 6) for k in ("country_confidence", "town_confidence")})
+
+
+from . import more  # noqa: E402, F401  (registers its queries here)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import text as X
 
 
 def percent(score: Column) -> Column:
@@ -23,20 +24,35 @@ def percent(score: Column) -> Column:
     return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("%"))
 
 
-def readable(combos: DataFrame, addresses: DataFrame, n: int = 2) -> DataFrame:
-    """Base columns, then for each of the n best combinations country, confidence, code and town."""
-    rows = addresses.select("addr_id", "text", F.when(F.col("suggested") != "", F.col("suggested")).otherwise("").alias("suggested_country"))
-    aggs = []
-    for i in range(1, n + 1):
-        at = lambda c, i=i: F.max(F.when(F.col("number") == i, c))
-        aggs += [F.coalesce(at(F.replace("country_possibility", F.lit("\n"), F.lit(""))), F.lit("")).alias(f"{i}th_best_country"), F.coalesce(at(percent(F.col("country_score"))), F.lit("")).alias(f"{i}th_best_country_confidence"), F.coalesce(at(F.col("country")), F.lit("")).alias(f"{i}th_best_country_resolved_code"), F.coalesce(at(F.replace("town", F.lit("\n"), F.lit(""))), F.lit("")).alias(f"{i}th_best_town"), F.coalesce(at(percent(F.col("town_score"))), F.lit("")).alias(f"{i}th_best_town_confidence")]
-    return rows.join(combos.groupBy("addr_id").agg(*aggs), "addr_id", "left")
+def readable(combos: DataFrame, addresses: DataFrame, n: int = 2, inferred: DataFrame | None = None) -> DataFrame:
+    """Base columns, then for each of the n best combinations what was matched, its confidence and what it stands for, of country and town; ``inferred`` (addr_id, code) adds a column of inferred countries."""
+    hinted = F.col("suggested") != ""
+    rows = addresses.select("addr_id", F.col("text").alias("address"), F.when(hinted, F.col("suggested")).otherwise("").alias("suggested_country"), F.when(hinted, F.col("force").cast("string")).otherwise("").alias("force_suggested_country"))
+    flat = lambda c: F.replace(F.col(c), F.lit("\n"), F.lit(""))
+    shown = {"country": flat("country_matched"), "country_confidence": percent(F.col("country_score")), "country_resolved_code": F.col("country"), "town": flat("town_matched"), "town_confidence": percent(F.col("town_score")), "town_resolved": F.col("town")}
+    aggs = [F.coalesce(F.max(F.when(F.col("number") == i, c)), F.lit("")).alias(f"{i}th_best_{name}") for i in range(1, n + 1) for name, c in shown.items()]
+    rows = rows.join(combos.groupBy("addr_id").agg(*aggs), "addr_id", "left")
+    if inferred is not None:
+        codes = inferred.select("addr_id", F.col("code").alias("__code"))
+        rows = rows.join(codes, "addr_id", "left").withColumns({f"{i}th_inferred_country_resolved_code": F.coalesce("__code", F.lit("")) for i in range(1, n + 1)}).drop("__code")
+    return rows
 
 
-def verbose(rows: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Adds a column of JSON for each tag that occurs (a bounded set), and for the three main ones; predictions: (addr_id, tag, text, confidence)."""
+def verbose(rows: DataFrame, predictions: DataFrame, countries: DataFrame | None = None, towns: DataFrame | None = None, tagged: DataFrame | None = None) -> DataFrame:
+    """Adds columns of JSON: the lists of matches, the country head and spans (``tagged``: addr_id, text, head, spans), IBANs, and the predictions of each tag that occurs (a bounded set) or is one of the three main ones.
+
+    predictions: (addr_id, tag, text, confidence). Without a head the text says so.
+    """
+    for name, found in (("country", countries), ("town", towns)):
+        if found is not None:
+            listed = found.groupBy("addr_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct("start", "stop", "matched", "possibility", "origin", "dist", "flags", "crf", "score").alias("m")))), lambda x: x["m"])).alias(f"detailed_{name}_matches"))
+            rows = rows.join(listed, "addr_id", "left")
+    if tagged is not None:
+        off = "Country head disabled"
+        known = F.coalesce(F.col("head.country") != "", F.lit(False))
+        rows = rows.join(tagged.select("addr_id", F.when(known, F.col("head.country")).otherwise(off).alias("country_head_prediction"), F.when(known, percent(F.col("head.confidence"))).otherwise(off).alias("country_head_confidence"), F.to_json("spans").alias("crf_spans"), F.array_join(X.ibans(F.col("text")), "\n").alias("ibans")), "addr_id", "left")
     seen = {r[0] for r in predictions.select("tag").distinct().collect()} | {"COUNTRY", "TOWN", "POSTAL_CODE"}
-    each = [F.to_json(F.collect_list(F.when(F.col("tag") == t, F.struct("text", "confidence")))).alias(f"prediction_{t.lower()}") for t in S.TAGS if t in seen]
+    each = [F.to_json(F.collect_list(F.when(F.col("tag") == t, F.struct("text", "confidence")))).alias(f"crf_prediction_{t.lower()}") for t in S.TAGS if t in seen]
     return rows.join(predictions.groupBy("addr_id").agg(*each), "addr_id", "left")
 
 

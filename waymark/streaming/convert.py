@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import cache as C
+from ..settle import release
 
 
 def convert_stream(requests: DataFrame, read_cache: Callable[[], DataFrame | None], write_cache: Callable[[DataFrame, int], None], write_items: Callable[[DataFrame, int], None], resolver: Callable[[DataFrame], DataFrame], checkpoint: str, embed=None):
@@ -20,5 +21,6 @@ def convert_stream(requests: DataFrame, read_cache: Callable[[], DataFrame | Non
         items, upserts = C.convert(batch, read_cache(), resolver, embed)
         write_items(items, number)
         write_cache(upserts, number)
+        release(items)
 
     return requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

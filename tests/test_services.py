@@ -76,7 +76,7 @@ def test_load_folder(spark, tmp_path):
     (tmp_path / "in.txt").write_text("Paris\nFrance\n")
     out = tmp_path / "out.csv"
     assert cli.main(["-i", str(tmp_path / "in.txt"), "-o", str(out), "--resources-dir", str(tmp_path), "-v"]) == 0
-    rows = spark.read.csv(str(out), header=True).collect()
+    rows = spark.read.csv(str(out), header=True, escape='"').collect()
     assert len(rows) == 2 and rows[0]["1th_best_town"] == "PARIS" and rows[1]["1th_best_country_resolved_code"] == "FR" and rows[0]["country_head_prediction"] == "Country head disabled"
 
 

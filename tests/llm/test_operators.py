@@ -487,6 +487,7 @@ def test_pii(request, which):
     assert counted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == counted(want)
     for r in got:
         assert {f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in plain_spans(text[r["doc_id"]])} <= set(r["spans"].split(","))
+        assert r["n_spans"] == len([x for x in r["spans"].split(",") if x])
 
 
 def test_redact(spark):

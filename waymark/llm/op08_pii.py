@@ -238,16 +238,17 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def judge(found: DataFrame, verdict: dict) -> DataFrame:
-    """found with base_sha256 and spans instead of its lists."""
+    """found with base_sha256, spans and n_spans (how many there are, of all kinds) instead of its lists."""
 
     def run(batches):
         for batch in batches:
             base, extra = batch.column(5).to_pylist(), batch.column(6).to_pylist()
             digest = [hashlib.sha256(_joined(_kept(b, [], {})).encode()).hexdigest() for b in base]
-            spans = [_joined(_kept(b, e, verdict)) for b, e in zip(base, extra, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[*batch.schema.names[:5], "base_sha256", "spans"])
+            kept = [_kept(b, e, verdict) for b, e in zip(base, extra, strict=True)]
+            more = [pa.array(digest, pa.string()), pa.array(map(_joined, kept), pa.string()), pa.array(map(len, kept), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *more], names=[*batch.schema.names[:5], "base_sha256", "spans", "n_spans"])
 
-    return found.mapInArrow(common.tidy(run), found.drop("base", "extra").schema.add("base_sha256", "string").add("spans", "string"))
+    return found.mapInArrow(common.tidy(run), found.drop("base", "extra").schema.add("base_sha256", "string").add("spans", "string").add("n_spans", "long"))
 
 
 def redact(docs: DataFrame, verdict: dict) -> DataFrame:

@@ -44,6 +44,24 @@ def test_features(spark, tmp_path):
     assert values(readers.read_directory(spark, str(tmp_path / "oa"), ["fr"])) == []
 
 
+def test_features_are_parsed_once(spark):
+    lines = [
+        {"properties": {"NUMBER": 1.5, "number": "2", "Street": " Elm ", "unit": "nil", "city": {"a": 1}, "district": "elm", "region": [1]}},
+        {"properties": {"number": None, "street": True, "unit": "U", "district": "u", "region": " R "}},
+        {"properties": {}},
+        {"type": "Feature"},
+        {"properties": None},
+    ]
+    raw = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(lines)] + [(9, "  ")], "line long, value string")
+    got = readers.features(raw)
+    assert got.columns == ["line", "value", "text"]
+    assert [(r["line"], r["text"]) for r in got.orderBy("line").collect()] == [(0, "1.5 Elm\nelm"), (1, "U\nR")]
+    # the filter on the text and its many uses of a property must not bring the parser back for each
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(properties") == 1
+    with pytest.raises(Exception, match="line 7: bad JSON: {x"):
+        readers.features(spark.createDataFrame([(7, "{x")], "line long, value string")).collect()
+
+
 def test_requests():
     assert readers.parse_request('{"text": "a"}') == ["a"] and readers.parse_request('{"items": [{"text": "a"}, {"text": "b"}]}') == ["a", "b"]
     for bad in ("{}", '{"text": "a", "items": []}', '{"text": " "}', '{"text": "a", "x": 1}', '{"text": "a"} {}'):

@@ -36,14 +36,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", column: str =
 
 def property_text(properties: Column, names: Column, key: str) -> Column:
     """A property of a map to variants by name, whatever its case (``names`` are the sorted keys): strings and numbers as trimmed text, others empty."""
-    value = F.try_element_at(properties, F.get(F.filter(names, lambda k: F.lower(k) == key), F.lit(0)))
-    kind = F.schema_of_variant(value)
-    return F.when(kind.isin("BOOLEAN", "VOID") | F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.lit("")).otherwise(F.coalesce(F.trim(value.cast("string")), F.lit("")))
+
+    def shown(value: Column) -> Column:
+        other = X.let(F.schema_of_variant(value), lambda kind: kind.isin("BOOLEAN", "VOID") | F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")))
+        return F.when(other, F.lit("")).otherwise(F.coalesce(F.trim(value.cast("string")), F.lit("")))
+
+    return X.let(F.try_element_at(properties, F.get(F.filter(names, lambda k: F.lower(k) == key), F.lit(0))), shown)
 
 
 def feature_text(number, street, unit, postcode, city, district, region) -> Column:
     """Address lines of a feature; nil-like lines and repeated ones (whatever their case) are left out."""
-    joined = lambda *parts: F.concat_ws(" ", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])
+    joined = lambda *parts: F.concat_ws(" ", *[X.let(F.trim(p), lambda x: F.when(x != "", x)) for p in parts])
     lines = F.array(joined(number, street), joined(unit), joined(postcode, city), joined(district), joined(region))
     # one walk over the five lines keeps the first of equals
     kept = F.aggregate(lines, F.array().cast("array<string>"), lambda got, x: F.when(X.is_nil(x) | F.exists(got, lambda y: F.lower(y) == F.lower(x)), got).otherwise(F.concat(got, F.array(x))))
@@ -65,11 +68,12 @@ def features(lines: DataFrame, value: str = "value") -> DataFrame:
     where = F.concat(F.lit("line "), F.col("line"), F.lit(": ")) if "line" in lines.columns else F.lit("")
     fail = lambda what: F.raise_error(F.concat(where, F.lit(what), F.substring(F.col(value), 1, 80))).cast("string")
     text = F.when(F.octet_length(value) <= LINE_BYTES, F.col(value)).otherwise(fail("line is too long: "))
-    out = rows.withColumn("__f", F.from_json(text, FEATURE, {"columnNameOfCorruptRecord": "__broken"}))
-    props = F.when(F.col("__f.__broken").isNull(), F.col("__f.properties")).otherwise(F.from_json(fail("bad JSON: "), "map<string,variant>"))
-    out = out.withColumn("__props", props).withColumn("__names", F.array_sort(F.map_keys("__props")))
-    out = out.withColumns({f"__{k}": property_text(F.col("__props"), F.col("__names"), k) for k in KEYS})
-    return out.withColumn("text", feature_text(*[F.col(f"__{k}") for k in KEYS])).drop("__f", "__props", "__names", *[f"__{k}" for k in KEYS]).where("text <> ''")
+    # each step binds what the next ones read several times; the optimizer would put the whole expression in each place
+    usable = lambda f: F.when(f["__broken"].isNull(), f["properties"]).otherwise(F.from_json(fail("bad JSON: "), "map<string,variant>"))
+    shown = lambda props: X.let(F.array_sort(F.map_keys(props)), lambda names: feature_text(*[property_text(props, names, k) for k in KEYS]))
+    made = X.let(F.from_json(text, FEATURE, {"columnNameOfCorruptRecord": "__broken"}), lambda f: X.let(usable(f), shown))
+    # a filter isn't moved below a generator, so the text isn't made a second time for it
+    return rows.withColumn("text", F.explode(F.array(made))).where("text <> ''")
 
 
 def read_geojson(spark: SparkSession, path: str, country: str = "", most: int = 0) -> DataFrame:

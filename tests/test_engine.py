@@ -139,6 +139,29 @@ def test_combinations(spark):
     assert got[-2:] == [(2, S.NO_COUNTRY, S.NO_TOWN, 0.15), (3, S.NO_COUNTRY, S.NO_TOWN, 0.15)]
 
 
+def test_no_table_of_addresses_is_broadcast(spark, tmp_path):
+    # by the size of their files all of these tables would be sent out through the driver
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    head = spark.createDataFrame([(1, "", False, "PARIS\nFR")], "addr_id long, suggested string, force boolean, text string")
+    kind = "addr_id long, kind int, start int, stop int, matched string, possibility string, dist int, flags array<string>, origin string, crf double, place int, score double"
+    c = spark.createDataFrame([(1, 1, 6, 8, "FR", "FR", 0, [], "FR", 0.5, 1, 0.8)], kind)
+    t = spark.createDataFrame([(1, 0, 0, 5, "PARIS", "PARIS", 0, [], "FR", 0.5, 1, 0.9)], kind)
+    head, c, t = stored(head, "head"), stored(c, "c"), stored(t, "t")
+    index = spark.createDataFrame([("PARIS", 2_000_000, "FR")], "alias string, population long, largest string")
+    none = spark.createDataFrame([], "possibility string, origins array<string>")
+    found = resolve.town_flags(t, head, index)
+    flagged = resolve.country_flags(c, head, G.ReferenceData(none, none, none, index))
+    towns, countries = resolve.relationships(t, c, head)
+    combos = resolve.combinations(c, t, head)
+    rows = resolve.structured(combos, head)
+    for df in (found, flagged, towns, countries, combos, rows, resolve.suggested(c, head, 0.95)):
+        assert "BroadcastHashJoin [addr_id" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["country"], r["town"]) for r in rows.collect()] == [("FR", "PARIS")] and "IS_METROPOLIS" in found.first()["flags"]
+
+
 def test_percent(spark):
     rng = [i / 80000 for i in range(0, 80001, 7)]
     got = spark.createDataFrame([(x,) for x in rng], "x double").select(sinks.percent(F.col("x"))).collect()

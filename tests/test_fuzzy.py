@@ -59,3 +59,12 @@ def test_random(spark):
     got = pairs.select("addr_id", "possibility", F.explode(fuzzy.greedy(F.col("found"))).alias("w")).select("addr_id", "possibility", "w.*").collect()
     have = sorted((r["addr_id"], r["possibility"], r["dist"], r["start"], r["stop"]) for r in got)
     assert have == sorted((i, e, *x) for i, t in texts for e in entries for x in brute(t, e))
+
+
+def test_windows_are_made_once(spark):
+    texts = spark.createDataFrame([(1, "ABCDE"), (2, "XABDEX")], "addr_id long, text string")
+    entries = spark.createDataFrame([("ABCDE", ["A"])], "possibility string, origins array<string>")
+    got = fuzzy.match_dictionary(texts, entries)
+    assert sorted((r["addr_id"], r["start"], r["stop"], r["dist"]) for r in got.collect()) == [(1, 0, 5, 0), (2, 1, 5, 1)]
+    # the gate's filter must not bring the windows back
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1

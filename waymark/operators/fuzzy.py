@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..settle import settle
+from ..settle import by_address, settle
 
 
 def candidates(entries: DataFrame) -> DataFrame:
@@ -45,22 +45,24 @@ def seeded(texts: DataFrame, entries: DataFrame, tolerance: int, held: list[str]
     fitting = F.filter(F.col("sizes"), lambda n: n <= F.length("text"))
     seeds = texts.select("addr_id", "text").join(F.broadcast(sizes)).withColumn("sizes", fitting).select("addr_id", F.explode(F.flatten(spots)).alias("s")).select("addr_id", "s.at", "s.piece")
     hits = seeds.join(parts, "piece").groupBy("addr_id", "possibility", "d").agg(F.array_sort(F.collect_set(F.col("at") - F.col("offset"))).alias("bases"))
-    return hits.join(texts.select("addr_id", "text"), "addr_id")
+    return hits.join(by_address(texts.select("addr_id", "text")), "addr_id")
 
 
-def within(text: Column, possibility: Column, d: Column, bases: Column) -> Column:
-    """Sorted structs (dist, start, stop, matched) of all windows within d edits around the bases."""
+def within(text: Column, possibility: Column, d: Column, bases: Column, tolerance: int | None = None) -> Column:
+    """Sorted structs (dist, start, stop, matched) of all windows within d edits around the bases; distances beyond ``tolerance`` (d at least) need not be counted to their end."""
     spread = F.sequence(-d, d)
-    places = F.array_distinct(F.flatten(F.transform(bases, lambda b: F.flatten(F.transform(spread, lambda s: F.transform(spread, lambda g: F.struct((b + s).alias("start"), (F.length(possibility) + g).alias("width"))))))))
+    starts = F.array_distinct(F.flatten(F.transform(bases, lambda b: F.transform(spread, lambda s: b + s))))
+    places = F.flatten(F.transform(starts, lambda b: F.transform(spread, lambda g: F.struct(b.alias("start"), (F.length(possibility) + g).alias("width")))))
     fitting = F.filter(places, lambda p: (p["start"] >= 0) & (p["width"] > 0) & (p["start"] + p["width"] <= F.length(text)))
-    made = F.transform(fitting, lambda p: X.let(X.at(text, p["start"], p["width"]), lambda m: F.struct(F.levenshtein(m, possibility).alias("dist"), p["start"].cast("int").alias("start"), (p["start"] + p["width"]).cast("int").alias("stop"), m.alias("matched"))))
-    return F.array_sort(F.filter(made, lambda w: w["dist"] <= d))
+    # beyond the threshold the distance is -1
+    made = F.transform(fitting, lambda p: X.let(X.at(text, p["start"], p["width"]), lambda m: F.struct(F.levenshtein(m, possibility, tolerance).alias("dist"), p["start"].cast("int").alias("start"), (p["start"] + p["width"]).cast("int").alias("stop"), m.alias("matched"))))
+    return F.array_sort(F.filter(made, lambda w: (w["dist"] >= 0) & (w["dist"] <= d)))
 
 
 def windows(texts: DataFrame, entries: DataFrame, tolerance: int) -> DataFrame:
     """(addr_id, possibility, start, stop, matched, dist) of all windows within the tolerance."""
     pairs = seeded(texts, entries, tolerance)
-    found = pairs.select("addr_id", "possibility", F.explode(within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases"))).alias("w"))
+    found = pairs.select("addr_id", "possibility", F.explode(within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases"), tolerance)).alias("w"))
     return found.select("addr_id", "possibility", "w.start", "w.stop", "w.matched", "w.dist")
 
 
@@ -86,7 +88,8 @@ def match_dictionaries(texts: DataFrame, entries: DataFrame, *, cutoff: int = 80
     listed = entries.select("kind", F.upper("possibility").alias("possibility"), F.explode("origins").alias("origin")).where("possibility <> ''")
     listed = settle(listed.groupBy("possibility", "kind").agg(F.array_sort(F.collect_set("origin")).alias("origins")), "entries", held)
     pairs = seeded(texts, listed.select("possibility").distinct(), tolerance, held)
-    found = pairs.withColumn("found", within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases")))
+    # a filter isn't moved below a generator, so the windows aren't made again for the gate
+    found = pairs.withColumn("found", F.explode(F.array(within(F.col("text"), F.col("possibility"), F.col("d"), F.col("bases"), tolerance))))
     found = found.where(open_gate(F.col("found"), F.col("possibility"), cutoff))
     chosen = found.select("addr_id", "text", "possibility", F.explode(greedy(F.col("found"))).alias("w")).select("addr_id", "text", "possibility", "w.*")
     inside = X.inside_word(F.col("text"), F.col("start"), F.col("stop"), F.col("matched"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import score as K
 from ..functions import text as X
-from ..settle import settle
+from ..settle import by_address, settle
 from . import fuzzy, postcode
 from .gazetteer import ReferenceData
 
@@ -48,13 +48,13 @@ def scored_by_crf(matches: DataFrame, probabilities: DataFrame | None, tag: str,
     from .seqmodel import span_mean
 
     series = probabilities.where(F.col("tag") == tag).select("addr_id", "series")
-    return matches.join(series, "addr_id", "left").withColumn("crf", F.coalesce(span_mean(F.col("series"), F.col("start"), F.col("stop")), F.lit(0.0))).drop("series")
+    return matches.join(by_address(series), "addr_id", "left").withColumn("crf", F.coalesce(span_mean(F.col("series"), F.col("start"), F.col("stop")), F.lit(0.0))).drop("series")
 
 
 def suggested(countries: DataFrame, addresses: DataFrame, score: float) -> DataFrame:
     """Codes equal to the hint are marked and raised to ``score``; each hinted address gets a generated match behind its text."""
     hint = addresses.select("addr_id", "suggested")
-    marked = countries.join(hint, "addr_id", "left")
+    marked = countries.join(by_address(hint), "addr_id", "left")
     is_hint = (F.col("kind") == 1) & (F.col("suggested") != "") & (F.col("origin") == F.col("suggested"))
     marked = marked.withColumn("crf", F.when(is_hint, F.greatest("crf", F.lit(score))).otherwise(F.col("crf"))).withColumn("flags", flag_if(F.col("flags"), IS_SUGGESTED_COUNTRY=F.coalesce(is_hint, F.lit(False))))
     made = addresses.where((F.col("suggested") != "") & (F.col("suggested") != S.NO_COUNTRY)).select("addr_id", F.lit(2).alias("kind"), (F.length("text") + 2).alias("start"), (F.length("text") + 2 + F.length("suggested")).alias("stop"), F.col("suggested").alias("matched"), F.col("suggested").alias("possibility"), F.lit(0).alias("dist"), F.array(F.lit("GENERATED_BY_SUGGESTED_COUNTRY")).alias("flags"), F.col("suggested").alias("origin"), F.lit(score).alias("crf"))
@@ -74,7 +74,7 @@ def street_overlap(spans: Column) -> Column:
 def town_flags(towns: DataFrame, addresses: DataFrame, index: DataFrame) -> DataFrame:
     """Separator, population, street and line flags; addresses may have ``spans``."""
     names = index.select(F.col("alias").alias("possibility"), "population", "largest")
-    rows = towns.join(names, "possibility", "left").join(addresses, "addr_id")
+    rows = towns.join(names, "possibility", "left").join(by_address(addresses), "addr_id")
     street = street_overlap(F.col("spans")) if "spans" in addresses.columns else F.lit(False)
     flags = flag_if(
         F.col("flags"),
@@ -91,7 +91,7 @@ def town_flags(towns: DataFrame, addresses: DataFrame, index: DataFrame) -> Data
 
 def country_flags(countries: DataFrame, addresses: DataFrame, ref: ReferenceData) -> DataFrame:
     """Separator, IBAN, street, province, country-head, phone, domain and postal-code flags; addresses may have ``spans``, ``head`` (country, confidence) and ``predictions`` (tag, text)."""
-    rows = countries.join(addresses, "addr_id")
+    rows = countries.join(by_address(addresses), "addr_id")
     has = set(addresses.columns)
     street = street_overlap(F.col("spans")) if "spans" in has else F.lit(False)
     iban = F.exists(X.ibans(F.col("text")), lambda i: F.upper(F.substring(i, 1, 2)) == F.upper("origin"))
@@ -147,14 +147,15 @@ def ranked(matches: DataFrame, codes_first: bool) -> DataFrame:
     # an address has few matches: its list rides along and inclusion is an expression
     rows = rows.withColumn("all", F.collect_list(F.struct("start", "stop", "rank", "dist")).over(w))
     larger = lambda o: ((o["start"] < F.col("start")) & (o["stop"] >= F.col("stop"))) | ((o["stop"] > F.col("stop")) & (o["start"] <= F.col("start")))
-    flags = flag_if(
+    inside = lambda around: flag_if(
         F.col("flags"),
-        IS_INSIDE_ANOTHER_LOWER_RANKED_MATCH=F.exists("all", lambda o: larger(o) & (o["rank"] >= F.col("rank")) & (o["dist"] < 1)),
-        IS_INSIDE_ANOTHER_HIGHER_RANKED_MATCH=F.exists("all", lambda o: larger(o) & (o["rank"] < F.col("rank"))),
+        IS_INSIDE_ANOTHER_LOWER_RANKED_MATCH=F.exists(around, lambda o: (o["rank"] >= F.col("rank")) & (o["dist"] < 1)),
+        IS_INSIDE_ANOTHER_HIGHER_RANKED_MATCH=F.exists(around, lambda o: o["rank"] < F.col("rank")),
         IS_SHORT=F.col("stop") - F.col("start") <= 2,
         IS_IN_FIRST_THIRD=F.col("start") <= F.col("length") / 3,
         IS_IN_LAST_THIRD=F.col("start") >= 2 * F.col("length") / 3,
     )
+    flags = X.let(F.filter("all", larger), inside)
     rows = rows.withColumn("flags", F.when(F.array_contains("flags", "GENERATED_BY_SUGGESTED_COUNTRY"), F.col("flags")).otherwise(flags)).drop("all")
     place = F.row_number().over(w.orderBy(F.length("possibility") > 2, "rank")) if codes_first else F.col("rank")
     return rows.withColumn("place", place)
@@ -164,7 +165,7 @@ def relationships(towns: DataFrame, countries: DataFrame, addresses: DataFrame)
     """Both lists with the flags that pairs of one origin give each other: one equi-join, summed up for each side."""
     t = towns.select("addr_id", "origin", F.col("place").alias("t_place"), F.struct("start", "stop", "flags", "dist").alias("t"))
     c = countries.select("addr_id", "origin", F.col("place").alias("c_place"), F.struct("start", "stop", "flags", "dist").alias("c"))
-    pairs = t.join(c, ["addr_id", "origin"]).join(addresses.select("addr_id", "text"), "addr_id")
+    pairs = t.join(by_address(c), ["addr_id", "origin"]).join(by_address(addresses.select("addr_id", "text")), "addr_id")
     h = lambda side, k: F.array_contains(F.col(f"{side}.flags"), k)
     valid = (F.col("origin") != "") & (F.col("t.dist") == 0) & (F.col("c.dist") == 0) & ~h("t", "IS_INSIDE_ANOTHER_WORD") & ~(h("c", "IS_SHORT") & h("c", "IS_INSIDE_ANOTHER_WORD"))
     gap = X.between(F.col("text"), F.col("t.start"), F.col("t.stop"), F.col("c.start"), F.col("c.stop"))
@@ -173,13 +174,13 @@ def relationships(towns: DataFrame, countries: DataFrame, addresses: DataFrame)
     by_town = pairs.groupBy("addr_id", F.col("t_place").alias("place")).agg(*[F.bool_or(k).alias(k) for k in ("hinted", "close", "line")])
     by_country = pairs.where(~F.col("extended")).groupBy("addr_id", F.col("c_place").alias("place")).agg(*[F.bool_or(k).alias(k) for k in ("close", "line")])
     yes = lambda k: F.coalesce(F.col(k), F.lit(False))
-    out_t = towns.join(by_town, ["addr_id", "place"], "left").withColumn("flags", flag_if(F.col("flags"), COUNTRY_IS_PRESENT=F.col("hinted").isNotNull(), SUGGESTED_COUNTRY_IS_PRESENT=yes("hinted"), IS_VERY_CLOSE_TO_COUNTRY=yes("close"), IS_ON_SAME_LINE_AS_COUNTRY=yes("line"))).drop("hinted", "close", "line")
-    out_c = countries.join(by_country, ["addr_id", "place"], "left").withColumn("flags", flag_if(F.col("flags"), TOWN_IS_PRESENT=F.col("close").isNotNull(), IS_VERY_CLOSE_TO_TOWN=yes("close"), IS_ON_SAME_LINE_AS_TOWN=yes("line"))).drop("close", "line")
+    out_t = towns.join(by_address(by_town), ["addr_id", "place"], "left").withColumn("flags", flag_if(F.col("flags"), COUNTRY_IS_PRESENT=F.col("hinted").isNotNull(), SUGGESTED_COUNTRY_IS_PRESENT=yes("hinted"), IS_VERY_CLOSE_TO_COUNTRY=yes("close"), IS_ON_SAME_LINE_AS_COUNTRY=yes("line"))).drop("hinted", "close", "line")
+    out_c = countries.join(by_address(by_country), ["addr_id", "place"], "left").withColumn("flags", flag_if(F.col("flags"), TOWN_IS_PRESENT=F.col("close").isNotNull(), IS_VERY_CLOSE_TO_TOWN=yes("close"), IS_ON_SAME_LINE_AS_TOWN=yes("line"))).drop("close", "line")
     if "head" in addresses.columns:
-        out_t = out_t.join(addresses.select("addr_id", "head"), "addr_id").withColumn("flags", flag_if(F.col("flags"), MLP_COUNTRY_IS_PRESENT=(F.col("head.confidence") >= 0.99) & (F.col("head.country") == F.col("origin")))).drop("head")
+        out_t = out_t.join(by_address(addresses.select("addr_id", "head")), "addr_id").withColumn("flags", flag_if(F.col("flags"), MLP_COUNTRY_IS_PRESENT=(F.col("head.confidence") >= 0.99) & (F.col("head.country") == F.col("origin")))).drop("head")
     if "predictions" in addresses.columns:
         mistaken = lambda tag: F.exists(F.filter("predictions", lambda p: p["tag"] == tag), lambda p: F.contains(p["text"], F.col("matched")))
-        p = addresses.select("addr_id", "predictions")
+        p = by_address(addresses.select("addr_id", "predictions"))
         out_t = out_t.join(p, "addr_id").withColumn("flags", flag_if(F.col("flags"), COULD_BE_REASONABLE_MISTAKE=mistaken("COUNTRY"))).drop("predictions")
         out_c = out_c.join(p, "addr_id").withColumn("flags", flag_if(F.col("flags"), COULD_BE_REASONABLE_MISTAKE=mistaken("TOWN"))).drop("predictions")
     return out_t, out_c
@@ -188,7 +189,7 @@ def relationships(towns: DataFrame, countries: DataFrame, addresses: DataFrame)
 def postcode_flags(towns: DataFrame, postcodes: DataFrame) -> DataFrame:
     """POSTCODE_FOR_TOWN_FOUND on towns that a postal code (addr_id, possibility, origin) of the text belongs to, under any alias."""
     keys = postcodes.select("addr_id", "origin", F.explode(X.aliases(X.lookup_name(F.col("possibility")))).alias("possibility")).distinct().withColumn("found", F.lit(True))
-    return towns.join(keys, ["addr_id", "origin", "possibility"], "left").withColumn("flags", flag_if(F.col("flags"), POSTCODE_FOR_TOWN_FOUND=F.coalesce("found", F.lit(False)))).drop("found")
+    return towns.join(by_address(keys), ["addr_id", "origin", "possibility"], "left").withColumn("flags", flag_if(F.col("flags"), POSTCODE_FOR_TOWN_FOUND=F.coalesce("found", F.lit(False)))).drop("found")
 
 
 def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, same_name: DataFrame | None = None) -> DataFrame:
@@ -197,14 +198,14 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
     Inputs have ``score`` and ``place``; addresses have ``suggested`` and ``force``. An address without any
     gets the placeholder pair.
     """
-    hints = addresses.select("addr_id", "suggested", "force")
+    hints = by_address(addresses.select("addr_id", "suggested", "force"))
     forced = F.col("force") & (F.col("suggested") != "")
     cs = countries.join(hints, "addr_id").where(~forced | (F.col("origin") == F.col("suggested"))).drop("suggested", "force")
     ts = towns.join(hints, "addr_id").withColumn("solo", ~(forced & (F.col("suggested") != S.NO_COUNTRY))).drop("force")
     matched = lambda d: F.col("matched") if "matched" in d.columns else F.col("possibility")
     pick = lambda d, p: d.select("addr_id", "origin", matched(d).alias(f"{p}_matched"), *[F.col(x).alias(f"{p}_{x}") for x in ("start", "stop", "possibility", "score", "place", "flags")], *(["solo", "suggested"] if p == "t" else []))
     c, t = pick(cs, "c"), pick(ts, "t")
-    pairs = c.join(t, ["addr_id", "origin"])
+    pairs = c.join(by_address(t), ["addr_id", "origin"])
     if same_name is not None:
         pairs = pairs.join(same_name.select(F.col("possibility").alias("t_possibility"), F.col("origin").alias("named")), "t_possibility", "left")
     else:
@@ -224,7 +225,7 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
         row(t.where("solo"), 2, none_c, F.lit(""), F.col("t_possibility"), F.col("origin"), least_c, F.col("t_score"), K.solo_town(F.col("t_score"), F.col("t_flags")), zero, F.col("t_place")),
     ]
     rows = reduce(DataFrame.unionByName, found)
-    nothing = addresses.select("addr_id", "suggested").join(rows.select("addr_id").distinct(), "addr_id", "left_anti")
+    nothing = addresses.select("addr_id", "suggested").join(by_address(rows.select("addr_id").distinct()), "addr_id", "left_anti")
     rows = rows.unionByName(row(nothing, 3, none_c, F.lit(""), none_t, F.lit(""), least_c, least_t, F.lit((S.LIMITS.country_least + S.LIMITS.town_least) / 2), zero, zero))
     order = [F.desc("score"), "phase", "i", "j"]
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("addr_id", "country", F.replace("town", F.lit("-"), F.lit(" "))).orderBy(*order))).where("nth = 1").drop("nth")
@@ -237,7 +238,7 @@ def structured(combos: DataFrame, addresses: DataFrame) -> DataFrame:
     real_t = (F.col("town") != S.NO_TOWN) & (F.col("town") != "")
     first = lambda c, ok: F.min_by(c, F.when(ok, F.col("number")))
     got = combos.groupBy("addr_id").agg(first("country", real_c).alias("country"), first("country_score", real_c).alias("country_confidence"), first("town", real_t).alias("town"), first("town_score", real_t).alias("town_confidence"), F.bool_or(real_c).alias("has_c"), F.bool_or(real_t).alias("has_t"))
-    out = addresses.join(got, "addr_id", "left")
+    out = addresses.join(by_address(got), "addr_id", "left")
     if "predictions" in addresses.columns:
         codes = F.filter("predictions", lambda p: p["tag"] == "POSTAL_CODE")
         best = F.array_max(F.transform(codes, lambda p, i: F.struct(p["confidence"].alias("c"), (-i).alias("o"), F.trim(p["text"]).alias("t"))))
@@ -272,16 +273,18 @@ def match_all(addresses: DataFrame, ref: ReferenceData, *, probabilities: DataFr
     countries = scored_by_crf(found.where("kind < 2"), probabilities, "COUNTRY", crf)
     countries = suggested(countries, addresses, limits.suggested_score)
     head = F.col("head.country") if "head" in addresses.columns else F.lit("")
-    countries = countries.join(addresses.select("addr_id", head.alias("__head")), "addr_id").where((F.col("kind") != 1) | (F.col("crf") > 0) | (F.col("origin") == F.col("__head"))).drop("__head")
+    countries = countries.join(by_address(addresses.select("addr_id", head.alias("__head"))), "addr_id").where((F.col("kind") != 1) | (F.col("crf") > 0) | (F.col("origin") == F.col("__head"))).drop("__head")
     towns = scored_by_crf(found.where("kind >= 2").withColumn("kind", F.col("kind") - 2), probabilities, "TOWN", crf)
-    length = addresses.select("addr_id", F.length("text").alias("length"))
+    length = by_address(addresses.select("addr_id", F.length("text").alias("length")))
     towns = keep(ranked(town_flags(towns, addresses, ref.town_index).join(length, "addr_id"), False), "towns")
     countries = keep(ranked(country_flags(countries, addresses, ref).join(length, "addr_id"), True), "countries")
     towns, countries = relationships(towns, countries, addresses)
     if postcodes is not None:
         towns = postcode_flags(towns, postcodes)
-    towns = keep(towns.withColumn("score", K.match_score("town", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.town_least), "scored-towns")
-    countries = keep(countries.withColumn("score", K.match_score("country", F.col("flags"), F.col("dist"), F.col("crf"))).where(F.col("score") >= limits.country_least), "scored-countries")
+    # settled before they are filtered: a filter moved below the score would make the flags again for each of their uses in it
+    score = lambda side: K.match_score(side, F.col("flags"), F.col("dist"), F.col("crf"))
+    towns = keep(towns.withColumn("score", score("town")), "scored-towns").where(F.col("score") >= limits.town_least)
+    countries = keep(countries.withColumn("score", score("country")), "scored-countries").where(F.col("score") >= limits.country_least)
     return countries, towns
 
 
@@ -295,7 +298,9 @@ def resolve(addresses: DataFrame, ref: ReferenceData, **options) -> DataFrame:
         if name not in addresses.columns:
             addresses = addresses.withColumn(name, F.lit(value))
     held: list[str] = []
-    ready = settle(clean_addresses(addresses.withColumn("input", F.coalesce(F.col("text"), F.lit("")))), "addresses", held)
+    # a small file of many addresses is much work: it is dealt out, so that not one task does it all
+    dealt = addresses.withColumn("input", F.coalesce(F.col("text"), F.lit(""))).repartition("addr_id")
+    ready = settle(clean_addresses(dealt), "addresses", held)
     if ref.postcodes is not None:
         options.setdefault("postcodes", postcode.match_postcodes(ready, ref.postcodes))
     countries, towns = match_all(ready, ref, held=held, **options)

@@ -50,6 +50,11 @@ def settle(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_address(df: DataFrame) -> DataFrame:
+    """df for a join on addr_id, which is sorted and merged. Such tables grow with the input, and Catalyst takes their compressed files for less than they are in memory, so a guess must not send them through the driver."""
+    return df.hint("merge")
+
+
 def release(rows: DataFrame) -> None:
     """Removes the settled tables that made ``rows`` (listed in its ``held``), once the rows are written."""
     for path in getattr(rows, "held", []):

@@ -44,3 +44,15 @@ def test_flagship(spark, sf):
         n, r = nation[c["c_nationkey"]], rows[c["c_custkey"]]
         # the exact pair of nation and region wins over near misses such as NATION_1 for NATION_11
         assert (r["country"], r["town"]) == (f"R{n['n_regionkey']}", n["n_name"])
+
+
+def test_review_rows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from waymark.operators import resolve
+
+    got = catalog.QUERIES["review_rows"](spark, sf)
+    # the last step's plan: addresses, combinations and resolved rows meet without the driver
+    assert "BroadcastHashJoin [addr_id" not in got._jdf.queryExecution().executedPlan().toString()
+    want = resolve.resolve(catalog._addresses(spark, sf), catalog._reference(spark, sf)).where("band <> 'high'")
+    assert sorted(r["input"] for r in got.collect()) == sorted(r["input"] for r in want.select(F.col("input")).collect())

@@ -162,6 +162,30 @@ def test_no_table_of_addresses_is_broadcast(spark, tmp_path):
     assert [(r["country"], r["town"]) for r in rows.collect()] == [("FR", "PARIS")] and "IS_METROPOLIS" in found.first()["flags"]
 
 
+def test_the_driver_holds_little(spark):
+    from waymark.settle import settle
+
+    # an address without any match keeps its placeholder, and the joins that make combinations stand in the plan once
+    addresses = spark.createDataFrame([(1, "", False, "x"), (2, "", False, "x"), (3, S.NO_COUNTRY, False, "x")], "addr_id long, suggested string, force boolean, text string")
+    kind = "addr_id long, origin string, start int, stop int, possibility string, score double, place int, flags array<string>"
+    c, t = spark.createDataFrame([(1, "FR", 0, 2, "FR", 0.8, 1, [])], kind), spark.createDataFrame([(1, "FR", 3, 8, "PARIS", 0.86, 1, [])], kind)
+    combos = resolve.combinations(c, t, addresses)
+    plan = combos._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join Inner") == 5
+    got = sorted((r["addr_id"], r["country"], r["town"], r["phase"]) for r in combos.collect())
+    assert got[:2] == [(1, "FR", "NO TOWN", 1), (1, "FR", "PARIS", 0)] and got[3:] == [(2, S.NO_COUNTRY, S.NO_TOWN, 3), (3, S.NO_COUNTRY, S.NO_TOWN, 3)]
+    # the transliteration of a name stands in the plan once, however often its aliases use it
+    names = spark.createDataFrame([("fr", "Saint Étienne"), ("de", None)], "origin string, name string")
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert size(names.select(X.aliases(X.lookup_name(F.col("name"))))) < 1.5 * size(names.select(X.lookup_name(F.col("name"))))
+    assert [r["alias"] for r in G.alias_origins(names).orderBy("alias").collect()] == sorted(["SAINT ETIENNE", "SAINT-ETIENNE", "ST-ETIENNE", "ST ETIENNE", "ST. ETIENNE", "ST.-ETIENNE"])
+    # what a settled step leaves behind is collected
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert settle(names, "names").count() == 2 and full() > before
+
+
 def test_percent(spark):
     rng = [i / 80000 for i in range(0, 80001, 7)]
     got = spark.createDataFrame([(x,) for x in rng], "x double").select(sinks.percent(F.col("x"))).collect()

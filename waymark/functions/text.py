@@ -115,8 +115,13 @@ def separator_aliases(x: Column) -> Column:
 
 def aliases(x: Column) -> Column:
     """The name and, for each writing of Saint, its writings with spaces and hyphens; sorted."""
-    saints = F.when(F.regexp_like(x, F.lit(SAINT)), F.array(x, *[F.regexp_replace(x, SAINT, s) for s in ("SAINT-", "ST. ", "ST-")])).otherwise(F.array(x))
-    return F.array_sort(F.array_distinct(F.concat(F.array(x), F.flatten(F.transform(saints, separator_aliases)))))
+
+    def written(name: Column) -> Column:
+        saints = F.when(F.regexp_like(name, F.lit(SAINT)), F.array(name, *[F.regexp_replace(name, SAINT, s) for s in ("SAINT-", "ST. ", "ST-")])).otherwise(F.array(name))
+        return F.array_sort(F.array_distinct(F.concat(F.array(name), F.flatten(F.transform(saints, separator_aliases)))))
+
+    # bound once: a transliterated name is a large expression, and the driver holds each copy of it in every version of a plan
+    return let(x, written)
 
 
 # ---------------------------------------------------------------- similarity

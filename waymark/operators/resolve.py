@@ -224,9 +224,9 @@ def combinations(countries: DataFrame, towns: DataFrame, addresses: DataFrame, s
         row(c, 1, F.col("origin"), F.col("c_possibility"), none_t, F.lit(""), F.col("c_score"), least_t, K.solo_country(F.col("c_score"), F.col("c_flags")), F.col("c_place"), zero),
         row(t.where("solo"), 2, none_c, F.lit(""), F.col("t_possibility"), F.col("origin"), least_c, F.col("t_score"), K.solo_town(F.col("t_score"), F.col("t_flags")), zero, F.col("t_place")),
     ]
-    rows = reduce(DataFrame.unionByName, found)
-    nothing = addresses.select("addr_id", "suggested").join(by_address(rows.select("addr_id").distinct()), "addr_id", "left_anti")
-    rows = rows.unionByName(row(nothing, 3, none_c, F.lit(""), none_t, F.lit(""), least_c, least_t, F.lit((S.LIMITS.country_least + S.LIMITS.town_least) / 2), zero, zero))
+    # each address brings its placeholder, which goes if there is anything else: an anti join would need all the joins above twice
+    found.append(row(addresses.select("addr_id", "suggested"), 3, none_c, F.lit(""), none_t, F.lit(""), least_c, least_t, F.lit((S.LIMITS.country_least + S.LIMITS.town_least) / 2), zero, zero))
+    rows = reduce(DataFrame.unionByName, found).withColumn("first", F.min("phase").over(W.partitionBy("addr_id"))).where("phase < 3 or first = 3").drop("first")
     order = [F.desc("score"), "phase", "i", "j"]
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("addr_id", "country", F.replace("town", F.lit("-"), F.lit(" "))).orderBy(*order))).where("nth = 1").drop("nth")
     return rows.withColumn("number", F.row_number().over(W.partitionBy("addr_id").orderBy(*order)))

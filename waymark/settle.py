@@ -47,6 +47,8 @@ def settle(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame
     df.write.parquet(path)
     if held is not None:
         held.append(path)
+    # the step's plans, their event texts and its shuffles are garbage now; the driver gives that memory back before the next step
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
